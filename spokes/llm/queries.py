@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from spokes.llm import q10
+from spokes.llm import q05, q10
 
-QUERIES = {"op10_chat_formatting": q10.op10_chat_formatting}
-ORACLE_SQL = {"op10_chat_formatting": q10.SQL}
+QUERIES = {
+    "op5_quality_rules": q05.op5_quality_rules,
+    "op10_chat_formatting": q10.op10_chat_formatting,
+}
+ORACLE_SQL = {"op5_quality_rules": q05.SQL, "op10_chat_formatting": q10.SQL}
