@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import xxhash
 
@@ -16,7 +18,9 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
+@lru_cache(maxsize=1)
 def word_memo() -> Memo:
+    """One for all tasks of a Python worker."""
     return Memo(xxhash.xxh64_intdigest)
 
 

@@ -19,6 +19,7 @@ hence one piece; repeated rows: each is counted.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -78,11 +79,17 @@ class Counter:
         return sum(map(self.memo.__getitem__, STRETCH.findall(marked)), 0j)
 
 
+@lru_cache(maxsize=1)
+def counter(path: str) -> Counter:
+    """One for all tasks of a Python worker, so that its memo outlives them."""
+    return Counter(load(path))
+
+
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_pieces and best score of every text; ``vocabulary`` is a path that every executor has."""
 
     def make():
-        count = Counter(load(vocabulary))
+        count = counter(vocabulary)
 
         def each(c: dict) -> dict:
             z = [count(t) for t in c["text"]]

@@ -25,6 +25,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import sys
+from array import array
+from functools import lru_cache
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -40,15 +43,20 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         from tokenizers import Tokenizer
 
-        self.np, self.tokenizer = np, Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         self.end = end_id.to_bytes(self.width, "little")
         self.memo: dict[bytes, bytes] = {}
 
+    def pack(self, ids: list[int]) -> bytes:
+        a = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            a.byteswap()
+        return a.tobytes()
+
     def learn(self, words: list[bytes], most: int = 1_000_000) -> None:
         if len(self.memo) + len(words) > most:
             self.memo.clear()
@@ -56,7 +64,7 @@ class Encoder:
             some = words[s : s + 4096]
             coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
             for w, e in zip(some, coded, strict=True):
-                self.memo[w] = self.np.array(e.ids, f"<u{self.width}").tobytes()
+                self.memo[w] = self.pack(e.ids)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
@@ -70,6 +78,12 @@ class Encoder:
         return [b"".join([*map(memo.__getitem__, words), self.end]) for words in split]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, end_id: int) -> Encoder:
+    """One for all tasks of a Python worker, so that its memo outlives them."""
+    return Encoder(path, end_id)
+
+
 def _codec(dictionary: bytes):
     import zstandard
 
@@ -105,7 +119,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> None:
     def blocks(batches):
         import pyarrow as pa
 
-        encode, (pack, _) = Encoder(tokenizer, end_id), _codec(dictionary)
+        encode, (pack, _) = encoder(tokenizer, end_id), _codec(dictionary)
         part, block, start = TaskContext.get().partitionId(), 0, 0
         ids, sizes, counts, frames, room = [], [], [], [], 0
 
