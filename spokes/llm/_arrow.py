@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -23,11 +24,21 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
         for b in batches:
             for s in range(0, b.num_rows, 512):
                 part = b.slice(s, 512)
-                yield pa.RecordBatch.from_pydict(each({n: part.column(n).to_pylist() for n in part.schema.names}), schema=arrow)
+                yield pa.RecordBatch.from_pydict(each({n: _values(part.column(n)) for n in part.schema.names}), schema=arrow)
 
     return df.mapInArrow(run, out)
 
 
+def _values(column: pa.Array) -> list:
+    """Python values; arrays of whole numbers come as numpy arrays, without a Python object for each number."""
+    if pa.types.is_list(column.type) and pa.types.is_integer(column.type.value_type) and not column.null_count:
+        flat = column.flatten()
+        if not flat.null_count:
+            ends = column.value_lengths().to_numpy(zero_copy_only=False).cumsum()
+            return np.split(flat.to_numpy(), ends[:-1]) if len(ends) else []
+    return column.to_pylist()
+
+
 class Memo(dict):
     """Values by key, computed when missing; emptied at ``most`` entries, so memory is bounded whatever the keys are."""
 

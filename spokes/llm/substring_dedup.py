@@ -99,7 +99,7 @@ def _windows(texts: DataFrame, size: int) -> DataFrame:
             for i, text, hot in zip(c["doc_id"], c["text"], c["hot"], strict=True):
                 h = word_hashes(memo, split_words(text))
                 at, short = _minimizers(h, size)
-                some = np.isin(short[at].view(np.int64), np.array(hot, np.int64))
+                some = np.isin(short[at].view(np.int64), hot)
                 a, b = _keys(h, size)
                 pairs = np.unique(np.stack([a[some], b[some]]), axis=1)
                 ids.append(np.full(pairs.shape[1], i))
@@ -124,16 +124,19 @@ def _cut(texts: DataFrame, size: int) -> DataFrame:
 
         def each(c: dict) -> dict:
             out: dict = {"doc_id": c["doc_id"], "sha": [], "n_removed": [], "kept_sha256": [], "removed": []}
-            for text, gone in zip(c["text"], c["gone"], strict=True):
+            for text, gone1, gone2 in zip(c["text"], c["gone1"], c["gone2"], strict=True):
                 w = split_words(text)
                 a, b = _keys(word_hashes(memo, w), size)
-                pairs = {(x["k1"], x["k2"]) for x in gone}
-                maybe = np.flatnonzero(np.isin(a, np.array([p[0] for p in pairs], np.int64)))
+                order = np.lexsort((gone2, gone1))
+                g1, g2 = gone1[order], gone2[order]
+                at = np.minimum(np.searchsorted(g1, a), len(g1) - 1)
+                hit = np.flatnonzero((g1[at] == a) & (g2[at] == b))
+                if (g1[1:] == g1[:-1]).any():  # one first key with several second keys
+                    pairs = set(zip(g1.tolist(), g2.tolist(), strict=True))
+                    hit = np.array([i for i in np.flatnonzero(g1[at] == a) if (int(a[i]), int(b[i])) in pairs], np.int64)
                 edge = np.zeros(len(w) + 1, np.int64)
-                for i in maybe:
-                    if (a[i], b[i]) in pairs:
-                        edge[i] += 1
-                        edge[i + size] -= 1
+                np.add.at(edge, hit, 1)
+                np.add.at(edge, hit + size, -1)
                 off = np.cumsum(edge[:-1]) > 0
                 turns = np.flatnonzero(np.diff(np.concatenate([[False], off, [False]]).astype(np.int8)))
                 out["sha"].append(hashlib.sha256(b" ".join(w)).digest())
@@ -152,7 +155,11 @@ def substring_dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
     spark = docs.sparkSession
     scanned = save(_scan(docs, size), "halves")
     with_id = scanned.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= size))
-    firsts = save(with_id.groupBy("sha").agg(F.min(F.struct("doc_id", "halves")).alias("f")).select("f.*"), "firsts")
+    firsts = save(with_id.groupBy("sha").agg(F.min(F.struct("doc_id", "halves")).alias("f")).select("sha", "f.*"), "firsts")
+    rows = save(scanned.drop("halves"), "rows")
+    least = save(firsts.select("sha", F.col("doc_id").alias("lo")), "least")
+    drop_saved(scanned)
+    release(spark)
     halves = firsts.select("doc_id", F.explode("halves").alias("h"))
     shared = halves.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
     hot = save(halves.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hot")), "hot")
@@ -164,24 +171,23 @@ def substring_dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
     release(spark)
     full = _windows(texts, size)
     repeated = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k1", "k2", "lo")
-    gone = full.join(repeated, ["k1", "k2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("gone"))
+    gone = full.join(repeated, ["k1", "k2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("g"))
+    gone = gone.select("doc_id", F.col("g.k1").alias("gone1"), F.col("g.k2").alias("gone2"))
     gone = save(gone, "gone")
     release(spark)
     cut = save(_cut(texts.select("doc_id", "text").join(gone, "doc_id"), size), "cut")
     drop_saved(texts)
     drop_saved(gone)
     release(spark)
-    return _all_rows(scanned, cut, size)
+    return _all_rows(rows, least, cut)
 
 
-def _all_rows(scanned: DataFrame, cut: DataFrame, size: int) -> DataFrame:
+def _all_rows(rows: DataFrame, least: DataFrame, cut: DataFrame) -> DataFrame:
     """Rows of every document: cut, a later copy of the same words, or whole.
 
     A doc_id of several rows gets each row's own result by its words' hash.
     """
-    rows = scanned.select("doc_id", "n_words", F.col("sha"), F.hex("sha").alias("all_sha"))
-    least = rows.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= size)).groupBy("sha").agg(F.min("doc_id").alias("lo"))
-    marked = rows.join(least, "sha", "left")
+    marked = rows.withColumn("all_sha", F.hex("sha")).join(least, "sha", "left")
     own = cut.dropDuplicates(["doc_id", "sha"]).withColumnsRenamed({c: f"cut_{c}" for c in ("n_removed", "kept_sha256", "removed")})
     both = marked.join(own, ["doc_id", "sha"], "left")
     copy = F.col("doc_id") > F.col("lo")
