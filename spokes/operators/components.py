@@ -22,13 +22,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     while True:
         near = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src").agg(F.min("label").alias("near"))
         least = labels.join(near, labels.node == near.src).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = save(least, "labels")
-        of = step.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        jumped = save(step.join(of, step.label == of["at"], "left").select("node", "old", F.coalesce("next", "label").alias("label")), "labels")
+        of = labels.select(F.col("node").alias("at"), F.col("label").alias("next"))
+        jumped = least.join(of, least.label == of["at"], "left").select("node", "old", F.coalesce(F.least("next", "label"), "label").alias("label"))
+        step = save(jumped, "labels")
         drop_saved(labels)
-        drop_saved(step)
-        changed = jumped.where("label <> old").limit(1).count()
-        labels = jumped.select("node", "label")
-        if not changed:
+        labels = step.select("node", "label")
+        if step.where("label <> old").isEmpty():
             drop_saved(both)
             return labels.withColumnRenamed("label", "component")
