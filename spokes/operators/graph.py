@@ -56,12 +56,12 @@ def betweenness(triples: DataFrame, sources: DataFrame | None = None) -> DataFra
 
     def walk(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         names, near = sent.value
         total = np.zeros(len(names))
-        for pdf in batches:
-            for s in pdf["at"]:
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
                 dist, paths, order, before = {s: 0}, {s: 1.0}, [s], {s: []}
                 for v in order:
                     for w in near[v]:
@@ -78,9 +78,9 @@ def betweenness(triples: DataFrame, sources: DataFrame | None = None) -> DataFra
                     if w != s:
                         total[w] += owed[w]
         some = np.flatnonzero(total)
-        yield pd.DataFrame({"node": [names[i] for i in some], "part": total[some]})
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.string()), pa.array(total[some], pa.float64())], names=["node", "part"])
 
-    parts = nodes.mapInPandas(walk, "node string, part double").groupBy("node").agg(F.sum("part").alias("part"))
+    parts = nodes.mapInArrow(walk, "node string, part double").groupBy("node").agg(F.sum("part").alias("part"))
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
     return unique_entities(triples).withColumnRenamed("entity", "node").join(parts, "node", "left").select("node", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
 

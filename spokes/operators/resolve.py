@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spokes.functions.text import limit_predicate, normalize, stems, words
 from spokes.operators.triples import entity_frequency, without_self_loops
+from spokes.storage import save
 
 
 def variant_groups(triples: DataFrame) -> DataFrame:
@@ -39,7 +40,8 @@ def subsumption(standards: DataFrame) -> DataFrame:
     words, and stems are compared once per distinct stem set, after which each form
     takes its predecessor in the order, found by one window per pair of stem sets.
     """
-    s = standards.select(F.col("standard").alias("e"), F.array_distinct(words(F.col("standard"))).alias("w"), F.array_sort(stems(F.col("standard"))).alias("st")).distinct()
+    s = standards.select(F.col("standard").alias("e"), F.array_distinct(words(F.col("standard"))).alias("w"), F.array_sort(stems(F.col("standard"))).alias("st")).dropDuplicates(["e"])
+    s = save(s, "standards")  # the vocabulary is read many times below; names are far fewer than triples
     each = s.select("e", F.explode("w").alias("word"))
     rarity = each.groupBy("word").agg(F.count("*").alias("n"))
     rare = each.join(rarity, "word").groupBy("e").agg(F.min(F.struct("n", "word"))["word"].alias("word"))
@@ -47,7 +49,7 @@ def subsumption(standards: DataFrame) -> DataFrame:
     large = s.join(each, "e").select(F.col("e").alias("y"), F.col("w").alias("wy"), "word")
     inside = small.join(large, "word").where((F.col("x") != F.col("y")) & (F.size(F.array_except("wx", "wy")) == 0))
     earlier = _position("x") < _position("y")
-    subset = inside.select("x", "y", earlier.alias("earlier"), (F.size("wx") == F.size("wy")).alias("same")).distinct()
+    subset = save(inside.select("x", "y", earlier.alias("earlier"), (F.size("wx") == F.size("wy")).alias("same")), "subsets")
     forward = subset.where("earlier").select(F.col("y").alias("e"), F.col("x").alias("to"))
     backward = subset.where("NOT earlier AND NOT same").select(F.col("y").alias("e"), F.col("x").alias("to"))
 
@@ -78,12 +80,12 @@ def subsumption(standards: DataFrame) -> DataFrame:
 
 def canonical_mapping(triples: DataFrame) -> DataFrame:
     """(variant, standard) of lower-case names; a standard that is taken over changes for its own name alone."""
-    groups = variant_groups(triples)
-    standards = representatives(groups)
+    groups = save(variant_groups(triples), "variants")
+    standards = save(representatives(groups), "representatives")
     base = groups.join(standards, "norm").select("variant", "standard")
     taken = subsumption(standards.select("standard"))
     moved = base.join(taken.withColumnRenamed("standard", "own"), F.col("variant") == F.col("own"), "left")
-    return moved.select("variant", F.coalesce("target", "standard").alias("standard"))
+    return save(moved.select("variant", F.coalesce("target", "standard").alias("standard")), "names")
 
 
 def rewrite(triples: DataFrame, mapping: DataFrame, lower: bool = True) -> DataFrame:

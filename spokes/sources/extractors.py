@@ -26,18 +26,18 @@ class Extractor:
         """``requests`` (request, system, user) to (request, response, error). An error is a row, not a failed job."""
 
         def ask(batches):
-            import pandas as pd
+            import pyarrow as pa
 
-            for pdf in batches:
+            for batch in batches:
                 out = []
-                for r in pdf.itertuples(index=False):
+                for r in batch.to_pylist():
                     try:
-                        out.append((r.request, self.answer(r.system, r.user), None))
+                        out.append({"request": r["request"], "response": self.answer(r["system"], r["user"]), "error": None})
                     except Exception as e:  # noqa: BLE001  any failure of one call is that row's error
-                        out.append((r.request, None, f"{type(e).__name__}: {e}"))
-                yield pd.DataFrame(out, columns=["request", "response", "error"])
+                        out.append({"request": r["request"], "response": None, "error": f"{type(e).__name__}: {e}"})
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(c, pa.string()) for c in ("request", "response", "error")]))
 
-        return requests.select("request", "system", "user").mapInPandas(ask, ANSWER)
+        return requests.select("request", "system", "user").mapInArrow(ask, ANSWER)
 
 
 @dataclass
