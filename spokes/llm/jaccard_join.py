@@ -9,7 +9,7 @@ In each run the sets are split on sampled positions: a bucket is the sets that
 hold the same sampled token there. Buckets of at most SMALL are compared pair by
 pair. A larger bucket is split again on the next sampled token of its path. To
 keep a large group of near copies from being split and compared for ever, the
-sets of a large bucket that look like its pivot (the least hash in the bucket)
+sets of a large bucket that look like its pivot (the set of the least key, so mostly the same one in all buckets of a group)
 are put into the pivot's group, and leave the recursion if they are so near that
 anything SIMILAR to them was put there too (Jaccard distance is a metric).
 RUNS times POSITIONS sampled tokens give the target recall: a pair at exactly
@@ -116,41 +116,38 @@ def _pairs_of_small(buckets: DataFrame) -> DataFrame:
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """Edges (src, dst) of sig between sets (``sig``, ``mh``) that may be similar."""
-    level = F.array(
-        *(
-            F.struct(F.lit(r * POSITIONS + p).alias("root"), F.xxhash64(F.lit(r * POSITIONS + p), F.element_at("mh", (r * POSITIONS + p) % T + 1)).alias("path"))
-            for r in range(RUNS)
-            for p in range(POSITIONS)
-        )
+    """Edges (src, dst) of sig between sets (``sig``, ``mh``) that may be similar.
+
+    Rows of the recursion hold a 64-bit key for the set; the minhashes join them
+    only in buckets of two sets or more.
+    """
+    keyed = sets.select(F.xxhash64("sig").alias("key"), "sig", "mh")
+    roots = F.array(
+        *(F.struct(F.lit(r).alias("root"), F.xxhash64(F.lit(r), F.element_at("mh", r % T + 1)).alias("path")) for r in range(RUNS * POSITIONS))
     )
-    rows = sets.select("sig", "mh", F.explode(level).alias("b")).select("sig", "mh", "b.root", "b.path")
+    rows = keyed.select("key", F.explode(roots).alias("b")).select("key", "b.root", "b.path")
     found = []
     for depth in range(DEEPEST):
-        keyed = rows.select("root", "path", "sig")
-        sizes = keyed.groupBy("root", "path").agg(
-            F.count("*").alias("n"), F.expr("bit_xor(xxhash64(sig))").alias("members"), F.min(F.struct(F.xxhash64("sig", F.lit(depth)), "sig")).alias("pivot")
-        )
-        sizes = save(sizes.where("n > 1").select("root", "path", "n", "members", F.col("pivot.sig").alias("pivot")), "buckets")
+        sizes = rows.groupBy("root", "path").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(key))").alias("members"), F.min("key").alias("pivot"))
+        sizes = save(sizes.where("n > 1"), "buckets")
         # Buckets of the same members are compared once.
-        small = sizes.where(F.col("n") <= SMALL).groupBy("n", "members").agg(F.min(F.struct("root", "path")).alias("b")).select("b.*")
-        groups = rows.join(small, ["root", "path"]).groupBy("root", "path").agg(F.collect_list("sig").alias("sigs"), F.collect_list("mh").alias("mhs"))
-        found.append(save(_pairs_of_small(groups).distinct(), "pairs"))
-        large = sizes.where(F.col("n") > SMALL)
-        if not large.limit(1).count():
+        small = sizes.where(F.col("n") <= SMALL).groupBy("n", "members").agg(F.min("root").alias("root"), F.min_by("path", "root").alias("path")).select("root", "path")
+        groups = rows.join(small, ["root", "path"]).join(keyed, "key").groupBy("root", "path").agg(F.collect_list("sig").alias("sigs"), F.collect_list("mh").alias("mhs"))
+        found.append(save(_pairs_of_small(groups), "pairs"))
+        large = sizes.where(F.col("n") > SMALL).select("root", "path", "pivot")
+        if large.isEmpty():
             break
-        pivots = large.select("root", "path", "pivot").join(sets.select(F.col("sig").alias("pivot"), F.col("mh").alias("pivot_mh")), "pivot")
-        told = save(
-            rows.join(pivots, ["root", "path"]).select("root", "path", "sig", "mh", "pivot", _equal(F.col("mh"), F.col("pivot_mh")).alias("equal")), "told"
-        )
-        last = depth == DEEPEST - 1
-        found.append(told.where((F.col("sig") != F.col("pivot")) & ((F.col("equal") >= ALIKE) | F.lit(last))).select(F.col("sig").alias("src"), F.col("pivot").alias("dst")))
+        pivots = keyed.select(F.col("key").alias("pivot"), F.col("sig").alias("pivot_sig"), F.col("mh").alias("pivot_mh"))
+        inside = rows.join(large.join(pivots, "pivot"), ["root", "path"]).join(keyed, "key")
+        told = save(inside.select("key", "root", "path", "sig", "mh", "pivot_sig", _equal(F.col("mh"), F.col("pivot_mh")).alias("equal")), "told")
+        near = (F.col("equal") >= ALIKE) | F.lit(depth == DEEPEST - 1)
+        found.append(told.where((F.col("sig") != F.col("pivot_sig")) & near).select(F.col("sig").alias("src"), F.col("pivot_sig").alias("dst")).distinct())
         at = (F.col("root") + (depth + 1) * RUNS * POSITIONS + F.pmod(F.col("path"), F.lit(7)).cast("int")) % T + 1
-        rows = told.where(F.col("equal") < SETTLED).select("sig", "mh", "root", F.xxhash64("path", F.element_at("mh", at)).alias("path"))
+        rows = told.where(F.col("equal") < SETTLED).select("key", "root", F.xxhash64("path", F.element_at("mh", at)).alias("path"))
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
-    return out.distinct()
+    return out
 
 
 def _verify(cells: DataFrame) -> DataFrame:

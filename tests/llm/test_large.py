@@ -66,12 +66,13 @@ def near_copies(n, words=60):
 def test_jaccard_classes_and_links(spark, odd_docs, no_docs, texts):
     rows = texts + [(1000 + i, t) for i, t in enumerate(near_copies(80))]
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert len(got) == len(rows) and {i: got[i] for i in classes_of(rows)} == classes_of(rows)
+    want = classes_of(rows)
+    assert len(got) == len(rows) and {i: got[i] for i in want} == want
     odd = jaccard_join.jaccard_join(odd_docs).collect()
     assert len(odd) == len(ODD) + 2 and all(r.class_id == r.doc_id and not r.n_links for r in odd)
     assert jaccard_join.jaccard_join(no_docs).count() == 0
     kept = jaccard_join.stage(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows if classes_of(rows).get(i, (i,))[0] == i}
+    assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows if want.get(i, (i,))[0] == i}
 
 
 def removed(rows, size=13):
