@@ -3,10 +3,9 @@
 A text is cut by the tokenizer's pattern; each match is a word. A word starts as
 the ids of its bytes; a fold merges, one at a time, the leftmost pair of least rank
 until no pair has one, as the rank file prescribes. Ranks of pairs come from a
-literal map: two arrays of packed (left, right, merged), each pair in one of two
-slots, so a look-up reads two elements at most.
+literal map: an array of packed (left, right, merged) with a collision-free hash.
 
-Distinct words of at most CACHE_DOCS documents are folded first; the CACHE_WORDS
+Distinct words of CACHE_DOCS documents (of the least hashed ids) are folded first; the CACHE_WORDS
 most frequent become a literal table from word to ids. It only saves work: any
 other word is folded where it stands, so there is no shuffle and no dependence on
 how many distinct words a corpus has.
@@ -30,8 +29,9 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern of words, with white space as Unicode defines it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"""
 
-#: Slots of the two halves of the map, and the bounds of the word table.
-SLOTS = (200_003, 190_027)
+#: Sizes of the map, the mark of an empty slot, and the bounds of the word table.
+SLOTS, BUCKETS, MOST_SHIFT, EMPTY = 200_003, 65_521, 32_768, 1 << 50
+NONE = 1 << 16
 CACHE_DOCS, CACHE_WORDS, CACHE_SLOTS = 12_000, 200_000, 262_144
 
 
@@ -55,31 +55,33 @@ def pairs(ranks: dict[bytes, int]) -> dict[int, int]:
 
 
 def place(table: dict[int, int]) -> tuple[list[int], list[int]]:
-    """Cuckoo hashing: every key sits at key % SLOTS[0] of the first array or key % SLOTS[1] of the second."""
-    halves = [0] * SLOTS[0], [0] * SLOTS[1]
-    for key, value in table.items():
-        entry, side = key << 16 | value | 1 << 48, 0
-        for _ in range(10_000):
-            at = (entry >> 16 & 0xFFFFFFFF) % SLOTS[side]
-            entry, halves[side][at] = halves[side][at], entry
-            if not entry:
+    """A hash without collisions: key sits at key % SLOTS + shift[key % BUCKETS] of the first list, as key << 16 | merged."""
+    buckets: dict[int, list[int]] = {}
+    for key in table:
+        buckets.setdefault(key % BUCKETS, []).append(key)
+    slots, shift = [EMPTY] * (SLOTS + MOST_SHIFT), [0] * BUCKETS
+    for at, keys in sorted(buckets.items(), key=lambda x: (-len(x[1]), x[0])):
+        for d in range(MOST_SHIFT):
+            if all(slots[k % SLOTS + d] == EMPTY for k in keys):
                 break
-            side = 1 - side
         else:
             raise ValueError("the map is too full")
-    return halves
+        shift[at] = d
+        for k in keys:
+            slots[k % SLOTS + d] = k << 16 | table[k]
+    return slots, shift
 
 
 @lru_cache(maxsize=1)
 def _texts(path: str) -> dict[str, str]:
     """The literals, as comma-separated text that the optimizer turns into arrays once."""
     ranks = load(path)
-    first, second = place(pairs(ranks))
+    slots, shift = place(pairs(ranks))
     by_id = {i: b for b, i in ranks.items()}
     ids = range(max(by_id) + 1)
     return {
-        "first": ",".join(map(str, first)),
-        "second": ",".join(map(str, second)),
+        "slots": ",".join(map(str, slots)),
+        "shift": ",".join(map(str, shift)),
         "bytes": ",".join(str(ranks[bytes([b])]) for b in range(256)),
         "little": ",".join(i.to_bytes(4, "little").hex() for i in ids),
         "pieces": ",".join(by_id.get(i, b"").hex() for i in ids),
@@ -91,38 +93,46 @@ def _array(text: str, of: str) -> Column:
 
 
 def fold(word: Column, path: str) -> Column:
-    """array<int>: ids of one word."""
-    t = _texts(path)
-    first, second, single = _array(t["first"], "bigint"), _array(t["second"], "bigint"), _array(t["bytes"], "int")
-    mark = 1 << 32
-
-    def merged(a: Column, b: Column) -> Column:
-        key = F.shiftleft(a.cast("long"), 16).bitwiseOR(b.cast("long"))
-        one = lambda half, n: F.get(half, (key % n).cast("int"))
-        hit = lambda e: F.shiftright(e, 16) == key + mark
-        low = lambda e: e.bitwiseAND(F.lit(0xFFFF)).cast("int")
-        x, y = one(first, SLOTS[0]), one(second, SLOTS[1])
-        return F.when(hit(x), low(x)).when(hit(y), low(y))
-
-    def step(ids: Column) -> Column:
-        n = F.size(ids)
-        ranks = F.zip_with(F.slice(ids, 1, n - 1), F.slice(ids, 2, n - 1), merged)
+    """array<bigint>: ids of one word.
 
-        def merge(r: Column) -> Column:
-            p = F.array_position(r, F.array_min(r)).cast("int")
-            joined = F.concat(F.slice(ids, 1, p - 1), F.array(F.array_min(r)), F.slice(ids, p + 2, n))
-            return F.when(F.array_min(r).isNull(), F.struct(ids.alias("ids"), F.lit(True).alias("done"))).otherwise(F.struct(joined.alias("ids"), F.lit(False).alias("done")))
+    The fold carries the ids and the ranks of their pairs; a merge looks up two new
+    ranks. A slot holds its pair above its rank, so that XOR with the pair leaves the
+    rank alone, or a number of NONE or more where the pair has none.
+    """
+    t = _texts(path)
+    # The tables are one literal that the expressions below share by name; each mention would be a copy in every task.
+    tables = F.struct(_array(t["slots"], "bigint").alias("slots"), _array(t["shift"], "bigint").alias("shift"))
+    single = _array(t["bytes"], "bigint")
+    pair = lambda a, b: F.shiftleft(a, 16).bitwiseOR(b)
+    bind = lambda value, f: F.get(F.transform(F.array(value), f), 0)  # noqa: E731  names a value, which is then computed once
+    none = F.array().cast("array<bigint>")
+
+    def folded(ids: Column, table: Column) -> Column:
+        rank = lambda k: F.get(table["slots"], k % SLOTS + F.get(table["shift"], k % BUCKETS)).bitwiseXOR(F.shiftleft(k, 16))
+
+        def merge(s: Column) -> Column:
+            ids, ranks = s["ids"], s["ranks"]
+
+            def at(p: Column) -> Column:
+                one = F.element_at(ranks, p)
+                before = F.when(p > 1, F.array(pair(F.get(ids, p - 2), one))).otherwise(none)
+                after = F.when(p < F.size(ranks), F.array(pair(one, F.get(ids, p + 1)))).otherwise(none)
+                return F.struct(
+                    F.concat(F.slice(ids, 1, p - 1), F.array(one), F.slice(ids, p + 2, F.size(ids))).alias("ids"),
+                    F.concat(F.slice(ranks, 1, F.greatest(p - 2, F.lit(0))), F.transform(F.concat(before, after), rank), F.slice(ranks, p + 2, F.size(ids))).alias("ranks"),
+                )
+
+            return bind(F.array_position(ranks, F.array_min(ranks)).cast("int"), at)
 
-        return F.get(F.transform(F.array(ranks), merge), 0)
+        n = F.size(ids)
+        ranks = F.transform(F.zip_with(F.slice(ids, 1, n - 1), F.slice(ids, 2, n - 1), pair), rank)
+        return F.aggregate(
+            F.sequence(F.lit(1), n), F.struct(ids.alias("ids"), ranks.alias("ranks")), lambda s, _: F.when(F.array_min(s["ranks"]) < NONE, merge(s)).otherwise(s), lambda s: s["ids"]
+        )
 
     latin = F.decode(word.cast("binary"), "ISO-8859-1")
     start = F.transform(F.split(latin, ""), lambda c: F.get(single, F.ascii(c)))
-
-    def run(ids: Column) -> Column:
-        rounds = F.sequence(F.lit(1), F.greatest(F.size(ids), F.lit(1)))
-        return F.aggregate(rounds, F.struct(ids.alias("ids"), (F.size(ids) < 2).alias("done")), lambda s, _: F.when(s["done"], s).otherwise(step(s["ids"])), lambda s: s["ids"])
-
-    return F.get(F.transform(F.array(start), run), 0)
+    return bind(tables, lambda table: bind(start, lambda ids: folded(ids, table)))
 
 
 def split_words(text: Column) -> Column:
@@ -131,7 +141,9 @@ def split_words(text: Column) -> Column:
 
 def word_table(docs: DataFrame, path: str) -> list[tuple[str, list[int]] | None]:
     """The frequent words and their ids, each at xxhash64(word) mod CACHE_SLOTS; the more frequent of two keeps a slot."""
-    words = docs.select("text").limit(CACHE_DOCS).select(F.explode(split_words(F.col("text"))).alias("word"))
+    first = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CACHE_DOCS)  # each task keeps that many ids
+    some = docs.where(F.col("doc_id").isin([r.doc_id for r in first.collect()]))
+    words = some.select(F.explode(split_words(F.col("text"))).alias("word"))
     top = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1 AND length(word) < 64").orderBy(F.desc("n"), "word").limit(CACHE_WORDS)
     slot = F.pmod(F.xxhash64("word"), F.lit(CACHE_SLOTS)).cast("int")
     best = top.groupBy(slot.alias("slot")).agg(F.max(F.struct("n", "word")).alias("b")).select("slot", F.col("b.word").alias("word"))
@@ -143,11 +155,11 @@ def word_table(docs: DataFrame, path: str) -> list[tuple[str, list[int]] | None]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (array<int>) of every text."""
+    """doc_id and ids (array<bigint>) of every text."""
     docs = docs.select("doc_id", "text")
     table = word_table(docs, path)
     known = F.split(F.lit("\x01".join(x[0] if x else "" for x in table)), "\x01")
-    codes = F.from_json(F.lit("[" + ",".join("[" + ",".join(map(str, x[1])) + "]" if x else "[]" for x in table) + "]"), "array<array<int>>")
+    codes = F.from_json(F.lit("[" + ",".join("[" + ",".join(map(str, x[1])) + "]" if x else "[]" for x in table) + "]"), "array<array<bigint>>")
 
     def ids(word: Column) -> Column:
         slot = F.pmod(F.xxhash64(word), F.lit(CACHE_SLOTS)).cast("int")
