@@ -11,7 +11,8 @@ pair. A larger bucket is split again on the next sampled token of its path. To
 keep a large group of near copies from being split and compared for ever, the
 sets of a large bucket that look like its pivot (the set of the least key, so mostly the same one in all buckets of a group)
 are put into the pivot's group, and leave the recursion if they are so near that
-anything SIMILAR to them was put there too (Jaccard distance is a metric).
+anything SIMILAR to them was put there too (Jaccard distance is a metric). What is
+still in a large bucket after DEEPEST splits is put into its pivot's group as well.
 RUNS times POSITIONS sampled tokens give the target recall: a pair at exactly
 SIMILAR shares none of them with probability (1 - SIMILAR) ** 16 = 7e-12, and
 survives the splits of large buckets with a probability over 0.99.
@@ -38,7 +39,7 @@ from spokes.operators.components import connected_components
 from spokes.storage import drop_saved, release, save
 
 SIZE, SIMILAR = 5, 0.8
-T, RUNS, POSITIONS, SMALL, DEEPEST, BLOCK = 64, 8, 2, 48, 20, 64
+T, RUNS, POSITIONS, SMALL, DEEPEST, BLOCK = 64, 8, 2, 48, 8, 64
 #: Of T minhashes: so many equal ones put two sets into one candidate group, or end a set's recursion.
 ALIKE, SETTLED = int(0.5 * T), math.ceil(0.78 * T)
 
@@ -133,7 +134,7 @@ def candidates(sets: DataFrame) -> DataFrame:
         # Buckets of the same members are compared once.
         small = sizes.where(F.col("n") <= SMALL).groupBy("n", "members").agg(F.min("root").alias("root"), F.min_by("path", "root").alias("path")).select("root", "path")
         groups = rows.join(small, ["root", "path"]).join(keyed, "key").groupBy("root", "path").agg(F.collect_list("sig").alias("sigs"), F.collect_list("mh").alias("mhs"))
-        found.append(save(_pairs_of_small(groups), "pairs"))
+        found.append(_pairs_of_small(groups))
         large = sizes.where(F.col("n") > SMALL).select("root", "path", "pivot")
         if large.isEmpty():
             break
@@ -143,11 +144,12 @@ def candidates(sets: DataFrame) -> DataFrame:
         near = (F.col("equal") >= ALIKE) | F.lit(depth == DEEPEST - 1)
         found.append(told.where((F.col("sig") != F.col("pivot_sig")) & near).select(F.col("sig").alias("src"), F.col("pivot_sig").alias("dst")).distinct())
         at = (F.col("root") + (depth + 1) * RUNS * POSITIONS + F.pmod(F.col("path"), F.lit(7)).cast("int")) % T + 1
+        release(sets.sparkSession)
         rows = told.where(F.col("equal") < SETTLED).select("key", "root", F.xxhash64("path", F.element_at("mh", at)).alias("path"))
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
-    return out
+    return save(out.distinct(), "pairs")
 
 
 def _verify(cells: DataFrame) -> DataFrame:
