@@ -153,7 +153,7 @@ def candidates(sets: DataFrame) -> DataFrame:
 
 
 def _verify(cells: DataFrame) -> DataFrame:
-    """Per set and cell: its links there and the least linked sig. Cells are (component, a, b), blocks a <= b.
+    """Per set and cell: its links there and its neighbour in a spanning forest of them. Cells are (component, a, b), blocks a <= b.
 
     Rows come sorted by cell, so a task holds one cell at a time.
     """
@@ -198,11 +198,19 @@ def _verify(cells: DataFrame) -> DataFrame:
             if held[0]["a"] != held[0]["b"]:
                 linked &= block[:, None] != block[None, :]
             hit = np.flatnonzero(linked.any(axis=1))
-            sigs = list(rows)
-            src, dst = [], []
-            for i in hit:
-                src.append(sigs[i])
-                dst.append(min(sigs[j] for j in np.flatnonzero(linked[i])))
+            # A spanning forest: each set with the one it was reached from, a root with itself.
+            sigs, near, left = list(rows), {}, linked.any(axis=1)
+            for root in hit:
+                if not left[root]:
+                    continue
+                near[root], left[root], todo = sigs[root], False, [root]
+                while todo:
+                    i = todo.pop()
+                    reached = np.flatnonzero(linked[i] & left)
+                    left[reached] = False
+                    near |= dict.fromkeys(reached, sigs[i])
+                    todo += reached.tolist()
+            src, dst = [sigs[i] for i in hit], [near[i] for i in hit]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((src, linked[hit].sum(axis=1), dst), kinds, strict=True)], names=names)
 
         for b in batches:
