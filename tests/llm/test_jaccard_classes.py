@@ -2,6 +2,7 @@
 
 import itertools
 
+import numpy as np
 import xxhash
 from spokes.llm import jaccard_join
 from spokes.llm._hashes import split_words, word_memo
@@ -27,3 +28,17 @@ def test_path_is_one_class_in_every_order_of_sigs(spark):
     rows = [(4 * k + i, t) for k, texts in enumerate(paths.values()) for i, t in enumerate(texts)]
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: (i - i % 4, 1 if i % 4 in (0, 3) else 2) for i, _ in rows}
+
+
+def test_recall_of_pairs_in_buckets_that_stay_large(spark, monkeypatch):
+    """Pairs at 0.8 where no bucket is small and no pivot helps: only a path shared to full depth joins them."""
+    for name, value in (("SMALL", 0), ("ALIKE", 65), ("SETTLED", 65)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng, rows, n = np.random.default_rng(7), [], 400
+    for p in range(n):
+        mh = rng.integers(-(2**31), 2**31, (2, jaccard_join.T))
+        mh[1] = np.where(rng.random(jaccard_join.T) < 0.8, mh[0], mh[1])
+        rows += [(bytes([p // 256, p % 256, k]), m.tolist()) for k, m in enumerate(mh)]
+    edges = jaccard_join.candidates(spark.createDataFrame(rows, "sig binary, mh array<int>")).collect()
+    joined = {bytes(e.src[:2]) for e in edges if e.src[:2] == e.dst[:2]}
+    assert len(joined) >= 0.99 * n
