@@ -5,8 +5,9 @@ weighted Jaccard similarity of SIMILAR or more with the item over 5-word shingle
 (weight: how often the shingle occurs). Words are lower case, without characters
 other than letters and digits.
 
-* Windows without any shingle of an item can't reach SIMILAR, so fingerprints are
-  taken where a shingle of an item stands, for the alignments that it implies.
+* A window reaches SIMILAR only if so many of its shingles are the item's (weights
+  a and b: 4 / 9 of a + b), so fingerprints are taken at all starts of windows that
+  hold as many, whatever their order, and at no others.
 * Fingerprints are 64-bit SimHashes. An item's 8 blocks of 8 bits are indexed under
   every value within NEAR bits: of two fingerprints within RADIUS = 8 * NEAR + 7
   bits, some block differs by NEAR at most, so the index loses none of them. A pair
@@ -19,7 +20,7 @@ MOST_LITERALS (counted first); beyond that they are joined.
 Defined cases: null or empty text: no words, no leak; items of fewer than five
 words: no shingle, never found; documents shorter than an item: their one window
 is the whole document; null doc_id: reported under null; repeated rows: reported
-once; ties: the first window; empty tables: no rows.
+once; ties: windows aligned with an item by a shared shingle, then the first one; empty tables: no rows.
 """
 
 from __future__ import annotations
@@ -95,6 +96,24 @@ def _hit_documents(docs: DataFrame, shingles: DataFrame) -> DataFrame:
     return hashed.join(hits.groupBy("uid").agg(F.array_sort(F.collect_set("pos")).alias("hits")), "uid")
 
 
+def _starts() -> Column:
+    """All starts of windows of ``n`` words in a text of ``total`` that hold enough of the sorted positions ``p`` of an item's shingles.
+
+    Any ``need`` positions in a row that fit into one window give the starts from which it holds them.
+    """
+    weights = F.least("n", "total") + F.col("n") - 2 * (SIZE - 1)
+    need = F.ceil(weights * SIMILAR[0] / (SIMILAR[0] + SIMILAR[1])).cast("int")
+    ends = F.when(F.size("p") >= need, F.sequence(need, F.size("p"))).otherwise(F.array().cast("array<int>"))
+    last = F.greatest(F.lit(0), F.col("total") - F.col("n"))
+
+    def of(k: Column) -> Column:
+        lo = F.greatest(F.lit(0), F.element_at("p", k) - (F.col("n") - SIZE))
+        hi = F.least(F.element_at("p", k - need + 1), last)
+        return F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi))).otherwise(F.array().cast("array<int>"))
+
+    return F.array_distinct(F.flatten(F.transform(ends, of)))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start_word, similarity (per thousand): each leaked item's best window in a document."""
     items = save(item_table(benchmark), "items")
@@ -103,9 +122,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     anchors = found.select("uid", F.size("w").alias("total"), "h", F.explode("hits").alias("pos")).select("uid", "total", "pos", F.element_at("h", F.col("pos") + 1).alias("h"))
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("q"), F.col("total") - F.col("n")))
-    starts = anchors.join(shingles, "h").select("uid", "n", start.cast("int").alias("start")).distinct()
+    shared = anchors.join(shingles, "h")
+    aligned = shared.select("uid", "n", start.cast("int").alias("start")).distinct().withColumn("aligned", F.lit(1))
+    held = shared.groupBy("uid", "item_id", "n", "total").agg(F.array_sort(F.collect_set("pos")).alias("p"))
+    starts = held.select("uid", "n", F.explode(_starts()).alias("start")).distinct().join(aligned, ["uid", "n", "start"], "left")
     cut = lambda c, more: F.slice(c, F.col("start") + 1, F.greatest(F.col("n") - more, F.lit(0)))
-    windows = starts.join(found.select("uid", "doc_id", "w", "h"), "uid").select("uid", "doc_id", "n", "start", cut("w", 0).alias("w"), cut("h", SIZE - 1).alias("h"))
+    windows = starts.join(found.select("uid", "doc_id", "w", "h"), "uid").select("uid", "doc_id", "n", "start", F.coalesce("aligned", F.lit(0)).alias("aligned"), cut("w", 0).alias("w"), cut("h", SIZE - 1).alias("h"))
     windows = save(windows.withColumn("fp", simhash("h")), "windows")
 
     blocks = F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("key")) for b in range(BLOCKS)))
@@ -114,12 +136,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = pairs.join(items.select("item_id", F.col("fp").alias("item_fp")), "item_id").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
 
     texts = benchmark.select("item_id", normal(F.col("text")).alias("item_w"))
-    both = near.select("uid", "n", "start", "item_id").join(windows.select("uid", "doc_id", "n", "start", "w"), ["uid", "n", "start"]).join(texts, "item_id")
-    both = both.select("doc_id", "item_id", "start", shingle_words(F.col("w")).alias("a"), shingle_words(F.col("item_w")).alias("b"))
+    both = near.select("uid", "n", "start", "item_id").join(windows.select("uid", "doc_id", "n", "start", "aligned", "w"), ["uid", "n", "start"]).join(texts, "item_id")
+    both = both.select("doc_id", "item_id", "start", "aligned", shingle_words(F.col("w")).alias("a"), shingle_words(F.col("item_w")).alias("b"))
     times = lambda c, x: F.size(F.filter(c, lambda y: y == x))
     common = F.aggregate(F.array_distinct("b"), F.lit(0), lambda s, x: s + F.least(times("a", x), times("b", x)))
-    scored = both.select("doc_id", "item_id", "start", common.alias("i"), (F.size("a") + F.size("b")).alias("t")).where(SIMILAR[1] * F.col("i") >= SIMILAR[0] * (F.col("t") - F.col("i")))
-    best = F.max(F.struct(F.expr("i * 1000 div (t - i)").alias("similarity"), (-F.col("start")).alias("minus"))).alias("best")
+    scored = both.select("doc_id", "item_id", "start", "aligned", common.alias("i"), (F.size("a") + F.size("b")).alias("t")).where(SIMILAR[1] * F.col("i") >= SIMILAR[0] * (F.col("t") - F.col("i")))
+    best = F.max(F.struct(F.expr("i * 1000 div (t - i)").alias("similarity"), F.col("aligned"), (-F.col("start")).alias("minus"))).alias("best")
     return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.minus")).cast("long").alias("start_word"), F.col("best.similarity").cast("long").alias("similarity"))
 
 
