@@ -1,38 +1,57 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
-
-A text is cut by the tokenizer's pattern; each match is a word. A word starts as
-the ids of its bytes; a fold merges, one at a time, the leftmost pair of least rank
-until no pair has one, as the rank file prescribes. Ranks of pairs come from a
-literal map: an array of packed (left, right, merged) with a collision-free hash.
-
-Distinct words of CACHE_DOCS documents (of the least hashed ids) are folded first; the CACHE_WORDS
-most frequent become a literal table from word to ids. It only saves work: any
-other word is folded where it stands, so there is no shuffle and no dependence on
-how many distinct words a corpus has.
-
-Decoding joins the hexadecimal pieces of the ids and turns them into bytes.
-
-A word of n bytes takes O(n * n) time. Java's and the tokenizer's tables of Unicode
-may differ in characters that are newer than the older of them.
-
-Defined cases: null text: empty; empty text: no ids; repeated rows: each is encoded.
+"""Byte-level BPE encoding and decoding.
+
+A text is cut by the tokenizer's own pattern; each match is a word. Every distinct
+word of the whole table is folded once, by Spark's higher-order functions: a word
+starts as the ids of its bytes, and a fold over them merges the pair of least rank (in
+long words, all pairs of that rank at once) until no pair has a rank. Ranks of pairs come from a literal
+map: an array of packed (left, right, merged) with a collision-free hash.
+
+Merging all pairs of least rank in one step equals merging the leftmost one each
+time, if every token of the rank file is reached from its own bytes by merges of
+no greater rank (:func:`is_ordered`; all files made by training are so): then no
+merge can give a pair of a lesser rank, and all pairs that give one token are the
+same two ids. They overlap only in runs of one id, where every other pair from the
+left is taken. A word takes one step for each distinct token that it makes, each in
+time linear in its length, so a run of 200,000 equal letters takes 17 steps or so.
+
+The ids go back to the documents in two ways, at any size of the corpus:
+
+* at most MOST_WORDS of the most frequent words (from a histogram of counts over the
+  whole table), each of at most WORD_BYTES, are broadcast: that bounds the broadcast;
+* all others are joined: (document, word) pairs meet the folded words by word. Such
+  a word can't be a hot key, as MOST_WORDS others are more frequent, or it is long.
+  A document's list of them meets its text by a 64-bit key; documents whose keys
+  collide only get a longer list to look words up in.
+
+Decoding concatenates the binary pieces of the ids.
+
+Defined cases: null text: empty; empty text: no ids; null doc_id and repeated rows:
+each row is encoded; very long texts and words: whole, a word is one row; ties:
+pairs of one rank are the same token, the left one is merged first; empty table: no
+rows; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+import re
+from contextlib import contextmanager
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed value: the pattern of words, with white space as Unicode defines it.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"""
+from spokes.llm._arrow import map_batches
+from spokes.storage import drop_saved, release, save
 
-#: Sizes of the map, the mark of an empty slot, and the bounds of the word table.
+#: Sizes of the map, and the mark of an empty slot.
 SLOTS, BUCKETS, MOST_SHIFT, EMPTY = 200_003, 65_521, 32_768, 1 << 50
-NONE = 1 << 16
-CACHE_DOCS, CACHE_WORDS, CACHE_SLOTS = 12_000, 200_000, 262_144
+NONE, BASE = 1 << 16, 256
+#: Words of up to so many bytes are merged one pair at a time, longer ones all equal pairs at a time.
+SHORT = 48
+#: Bounds of the broadcast words and of the memos in Python workers.
+MOST_WORDS, WORD_BYTES, MEMO = 1 << 19, 64, 200_000
 
 
 @lru_cache(maxsize=1)
@@ -54,6 +73,18 @@ def pairs(ranks: dict[bytes, int]) -> dict[int, int]:
     return out
 
 
+def is_ordered(ranks: dict[bytes, int]) -> bool:
+    """Whether each token is reached from its bytes, by merges of ranks that don't exceed its own."""
+    for token, rank in ranks.items():
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 1:
+            least, at = min((ranks.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if least > rank:
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return True
+
+
 def place(table: dict[int, int]) -> tuple[list[int], list[int]]:
     """A hash without collisions: key sits at key % SLOTS + shift[key % BUCKETS] of the first list, as key << 16 | merged."""
     buckets: dict[int, list[int]] = {}
@@ -74,118 +105,331 @@ def place(table: dict[int, int]) -> tuple[list[int], list[int]]:
 
 @lru_cache(maxsize=1)
 def _texts(path: str) -> dict[str, str]:
-    """The literals, as comma-separated text that the optimizer turns into arrays once."""
+    """The literals: comma-separated text that the optimizer turns into arrays once, and the 256 bytes as characters of their ids."""
     ranks = load(path)
-    slots, shift = place(pairs(ranks))
-    by_id = {i: b for b, i in ranks.items()}
-    ids = range(max(by_id) + 1)
-    return {
-        "slots": ",".join(map(str, slots)),
-        "shift": ",".join(map(str, shift)),
-        "bytes": ",".join(str(ranks[bytes([b])]) for b in range(256)),
-        "little": ",".join(i.to_bytes(4, "little").hex() for i in ids),
-        "pieces": ",".join(by_id.get(i, b"").hex() for i in ids),
-    }
+    if BASE + max(ranks.values()) >= 0xD800:
+        raise ValueError("ids beyond the characters that can stand for them")
+    of = lambda k: ((k >> 16) + BASE) << 16 | (k & 0xFFFF) + BASE
+    slots, shift = place({of(k): v for k, v in pairs(ranks).items()})
+    return {"slots": ",".join(map(str, slots)), "shift": ",".join(map(str, shift)), "bytes": "".join(chr(BASE + ranks[bytes([b])]) for b in range(256))}
 
 
 def _array(text: str, of: str) -> Column:
     return F.split(F.lit(text), ",").cast(f"array<{of}>")
 
 
-def fold(word: Column, path: str) -> Column:
-    """array<bigint>: ids of one word.
+def _bind(value: Column, f) -> Column:
+    """f(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
 
-    The fold carries the ids and the ranks of their pairs; a merge looks up two new
-    ranks. A slot holds its pair above its rank, so that XOR with the pair leaves the
-    rank alone, or a number of NONE or more where the pair has none.
-    """
-    t = _texts(path)
-    # The tables are one literal that the expressions below share by name; each mention would be a copy in every task.
-    tables = F.struct(_array(t["slots"], "bigint").alias("slots"), _array(t["shift"], "bigint").alias("shift"))
-    single = _array(t["bytes"], "bigint")
-    pair = lambda a, b: F.shiftleft(a, 16).bitwiseOR(b)
-    bind = lambda value, f: F.get(F.transform(F.array(value), f), 0)  # noqa: E731  names a value, which is then computed once
-    none = F.array().cast("array<bigint>")
 
-    def folded(ids: Column, table: Column) -> Column:
-        rank = lambda k: F.get(table["slots"], k % SLOTS + F.get(table["shift"], k % BUCKETS)).bitwiseXOR(F.shiftleft(k, 16))
+def _rank(pair: Column, table: Column) -> Column:
+    """A slot holds its pair above its rank, so that XOR with the pair leaves the rank alone, or NONE or more where the pair has none."""
+    return F.get(table["slots"], pair % SLOTS + F.get(table["shift"], pair % BUCKETS)).bitwiseXOR(F.shiftleft(pair, 16))
 
-        def merge(s: Column) -> Column:
-            ids, ranks = s["ids"], s["ranks"]
 
-            def at(p: Column) -> Column:
-                one = F.element_at(ranks, p)
-                before = F.when(p > 1, F.array(pair(F.get(ids, p - 2), one))).otherwise(none)
-                after = F.when(p < F.size(ranks), F.array(pair(one, F.get(ids, p + 1)))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(ids, 1, p - 1), F.array(one), F.slice(ids, p + 2, F.size(ids))).alias("ids"),
-                    F.concat(F.slice(ranks, 1, F.greatest(p - 2, F.lit(0))), F.transform(F.concat(before, after), rank), F.slice(ranks, p + 2, F.size(ids))).alias("ranks"),
-                )
+def _pair(a: Column, b: Column) -> Column:
+    return F.shiftleft(a.cast("long"), 16).bitwiseOR(b)
 
-            return bind(F.array_position(ranks, F.array_min(ranks)).cast("int"), at)
 
-        n = F.size(ids)
-        ranks = F.transform(F.zip_with(F.slice(ids, 1, n - 1), F.slice(ids, 2, n - 1), pair), rank)
-        return F.aggregate(
-            F.sequence(F.lit(1), n), F.struct(ids.alias("ids"), ranks.alias("ranks")), lambda s, _: F.when(F.array_min(s["ranks"]) < NONE, merge(s)).otherwise(s), lambda s: s["ids"]
+def _least(ranks: Column) -> Column:
+    """The least rank and its first position, in one number; null if there is no rank."""
+    return F.array_min(F.transform(ranks, lambda r, i: F.when(r < NONE, F.shiftleft(r, 32).bitwiseOR(i))))
+
+
+def _fold_short(start: Column, table: Column) -> Column:
+    """One merge a step, that of the least pair; the state keeps the ranks, as a merge changes two of them."""
+    none = F.array().cast("array<bigint>")
+
+    def merge(s: Column, m: Column) -> Column:
+        ids, ranks, p, one = s["ids"], s["ranks"], m.bitwiseAND(0x7FFFFFFF).cast("int"), F.shiftright(m, 32) + BASE
+        before = F.when(p > 0, F.array(_pair(F.get(ids, p - 1), one))).otherwise(none)
+        after = F.when(p + 1 < F.size(ranks), F.array(_pair(one, F.get(ids, p + 2)))).otherwise(none)
+        return F.struct(
+            F.concat(F.slice(ids, 1, p), F.array(one), F.slice(ids, p + 3, F.size(ids))).alias("ids"),
+            F.concat(F.slice(ranks, 1, F.greatest(p - 1, F.lit(0))), F.transform(F.concat(before, after), lambda k: _rank(k, table)), F.slice(ranks, p + 3, F.size(ids))).alias("ranks"),
         )
 
-    latin = F.decode(word.cast("binary"), "ISO-8859-1")
-    start = F.transform(F.split(latin, ""), lambda c: F.get(single, F.ascii(c)))
-    return bind(tables, lambda table: bind(start, lambda ids: folded(ids, table)))
+    def folded(ids: Column) -> Column:
+        n = F.size(ids)
+        ranks = F.transform(F.zip_with(F.slice(ids, 1, n - 1), F.slice(ids, 2, n - 1), _pair), lambda k: _rank(k, table))
+        step = lambda s, _: _bind(_least(s["ranks"]), lambda m: F.when(m.isNull(), s).otherwise(merge(s, m)))
+        return F.aggregate(F.sequence(F.lit(1), n - 1), F.struct(ids.alias("ids"), ranks.alias("ranks")), step, lambda s: F.transform(s["ids"], lambda x: (x - BASE).cast("int")))
 
+    return F.when(F.length(start) > 1, _bind(F.transform(F.split(start, ""), lambda c: F.ascii(c).cast("long")), folded)).otherwise(F.array(F.ascii(start) - BASE))
 
-def split_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
 
+def _fold_long(start: Column, table: Column) -> Column:
+    """All merges of the least pair in a step; the state is a string of ids, so that they are one replacement from the left."""
+    state = lambda ids, done: F.struct(ids.alias("ids"), F.lit(done).alias("done"))
 
-def word_table(docs: DataFrame, path: str) -> list[tuple[str, list[int]] | None]:
-    """The frequent words and their ids, each at xxhash64(word) mod CACHE_SLOTS; the more frequent of two keeps a slot."""
-    first = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CACHE_DOCS)  # each task keeps that many ids
-    some = docs.where(F.col("doc_id").isin([r.doc_id for r in first.collect()]))
-    words = some.select(F.explode(split_words(F.col("text"))).alias("word"))
-    top = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1 AND length(word) < 64").orderBy(F.desc("n"), "word").limit(CACHE_WORDS)
-    slot = F.pmod(F.xxhash64("word"), F.lit(CACHE_SLOTS)).cast("int")
-    best = top.groupBy(slot.alias("slot")).agg(F.max(F.struct("n", "word")).alias("b")).select("slot", F.col("b.word").alias("word"))
-    out: list = [None] * CACHE_SLOTS
-    for r in best.select("slot", "word", fold(F.col("word"), path).alias("ids")).toLocalIterator():
-        if "\x01" not in r.word:
-            out[r.slot] = (r.word, r.ids)
-    return out
+    def merge(s: Column) -> Column:
+        def least(ids: Column) -> Column:
+            pairs_of = F.transform(ids, lambda x, i: _pair(F.ascii(x), F.ascii(F.get(ids, i + 1))))  # the last one has no neighbour: null
+            return _bind(_least(F.transform(pairs_of, lambda k: _rank(k, table))), lambda m: replaced(ids, m))
 
+        def replaced(ids: Column, m: Column) -> Column:
+            at = m.bitwiseAND(0x7FFFFFFF).cast("int")
+            both = F.concat(F.get(ids, at), F.get(ids, at + 1))
+            one = F.decode(F.unhex(F.lpad(F.hex(F.shiftright(m, 32) + BASE), 4, "0")), "UTF-16BE")
+            return F.when(m.isNull(), state(s["ids"], True)).otherwise(state(F.replace(s["ids"], both, one), False))
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (array<bigint>) of every text."""
-    docs = docs.select("doc_id", "text")
-    table = word_table(docs, path)
-    known = F.split(F.lit("\x01".join(x[0] if x else "" for x in table)), "\x01")
-    codes = F.from_json(F.lit("[" + ",".join("[" + ",".join(map(str, x[1])) + "]" if x else "[]" for x in table) + "]"), "array<array<bigint>>")
+        return _bind(F.split(s["ids"], ""), least)
+
+    # Two levels of steps, as a finished word is still copied in each step that is left.
+    steps = F.sequence(F.lit(1), F.ceil(F.sqrt(F.length(start))).cast("int"))
+    more = lambda f: lambda s, _: F.when(s["done"], s).otherwise(f(s))
+    return F.aggregate(
+        steps, state(start, False), more(lambda s: F.aggregate(steps, s, more(merge))), lambda s: F.transform(F.split(s["ids"], ""), lambda c: F.ascii(c) - BASE)
+    )
 
-    def ids(word: Column) -> Column:
-        slot = F.pmod(F.xxhash64(word), F.lit(CACHE_SLOTS)).cast("int")
-        return F.when(F.get(known, slot) == word, F.get(codes, slot)).otherwise(fold(word, path))
 
-    words = docs.select("doc_id", split_words(F.col("text")).alias("words"))
-    return words.select("doc_id", F.flatten(F.transform("words", ids)).alias("ids"))
+def fold(word: Column, path: str) -> Column:
+    """array<int>: ids of one word of a byte or more. Ids are carried as characters or numbers of BASE + id."""
+    t = _texts(path)
+    # The tables are one literal that the expressions share by name; each mention would be a copy in every task.
+    tables = F.struct(_array(t["slots"], "bigint").alias("slots"), _array(t["shift"], "bigint").alias("shift"))
+    latin = F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), "".join(map(chr, range(256))), t["bytes"])
+    return _bind(tables, lambda table: _bind(latin, lambda x: F.when(F.length(x) <= SHORT, _fold_short(x, table)).otherwise(_fold_long(x, table))))
+
+
+@contextmanager
+def _short_plans(spark: SparkSession):
+    """Descriptions of plans would repeat the literals."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "100000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+SPACED, CUT = re.compile(r"\s "), re.compile(r"(?<=\S) ")
+
+
+def segments(text: str) -> list[str]:
+    """``text`` cut at the spaces after characters that aren't white space.
+
+    No match of the pattern has white space after other characters, and it looks
+    ahead only from white space, so each segment (with its space, but for the first)
+    is cut into words alone.
+    """
+    return CUT.split(text) if SPACED.search(text) else text.split(" ")
+
+
+class Words:
+    """Cuts texts into words by the pattern; segments and their words are remembered."""
+
+    def __init__(self):
+        import public_tokenizers
+        import regex
+
+        self.find = regex.compile(public_tokenizers.PATTERN).findall
+
+    def count(self, texts, most: int):
+        """Yields dicts of counts of words, none over ``most`` distinct segments and a text."""
+        from collections import Counter
+
+        first, rest = Counter(), Counter()
+
+        def flush():
+            out: Counter = Counter()
+            for lead, some in (("", first), (" ", rest)):
+                for s, n in some.items():
+                    for w in self.find(lead + s):
+                        out[w] += n
+                some.clear()
+            return out
+
+        for t in texts:
+            s = segments(t or "")
+            first[s[0]] += 1
+            rest.update(s[1:])
+            if len(rest) + len(first) >= most:
+                yield flush()
+        yield flush()
+
+
+class Coder(Words):
+    """Ids of texts as little-endian unsigned 32-bit numbers, from the broadcast words and each text's own list."""
+
+    def __init__(self, table):
+        super().__init__()
+        self.codes = {}
+        for s in range(0, table.num_rows, 65_536):
+            part = table.slice(s, 65_536)
+            self.codes.update(zip(part.column("word").to_pylist(), part.column("code").to_pylist(), strict=True))
+        self.memo: dict[str, bytes] = {}
+
+    def missing(self, text: str) -> list[str]:
+        """The distinct words that aren't broadcast."""
+        out, memo, codes = {}, self.memo, self.codes
+        s = segments(text)
+        for seg in [s[0], *(f" {x}" for x in set(s[1:]) if x not in memo)]:
+            new = [w for w in self.find(seg) if w not in codes]
+            if new:
+                out.update(dict.fromkeys(new))
+            elif seg[:1] == " ":
+                self.keep(seg[1:], b"".join(map(codes.__getitem__, self.find(seg))))
+        return list(out)
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(key) <= WORD_BYTES:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[key] = value
+
+    def encode(self, text: str, own: dict[str, bytes]) -> bytes:
+        memo, codes = self.memo, self.codes
+        s = segments(text)
+        out = [codes.get(w) or own[w] for w in self.find(s[0])]
+        for x in s[1:]:
+            code = memo.get(x)
+            if code is None:
+                words = self.find(f" {x}")
+                code = b"".join([codes.get(w) or own[w] for w in words])
+                if not own or all(w in codes for w in words):
+                    self.keep(x, code)
+            out.append(code)
+        return b"".join(out)
+
+
+_coders: dict[str, Coder] = {}
+
+
+def _coder(sent) -> Coder:
+    """One for all tasks of a Python worker; another broadcast takes its place."""
+    name, blob = sent.value
+    if name not in _coders:
+        import pyarrow as pa
+
+        _coders.clear()
+        _coders[name] = Coder(pa.ipc.open_stream(blob).read_all())
+    return _coders[name]
+
+
+def _count(docs: DataFrame) -> DataFrame:
+    """word, n over the whole table; each task adds up its own first."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def texts():
+            for b in batches:
+                for s in range(0, b.num_rows, 256):
+                    yield from b.column(0).slice(s, 256).to_pylist()
+
+        for counts in Words().count(texts(), MEMO):
+            words, n = list(counts), list(counts.values())
+            for s in range(0, len(words), 16_384):
+                yield pa.RecordBatch.from_arrays([pa.array(words[s : s + 16_384], pa.string()), pa.array(n[s : s + 16_384], pa.int64())], names=["word", "n"])
+
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _frequent(words: DataFrame) -> Column:
+    """The condition that at most MOST_WORDS of the most frequent words meet; a bin is an eighth of a power of two."""
+    bin_, short = F.floor(F.log2("n") * 8), F.octet_length("word") <= WORD_BYTES
+    sizes = words.where(short).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n")).collect()  # at most 512 rows
+    least, room = 1 << 20, MOST_WORDS
+    for r in sorted(sizes, key=lambda r: -r.bin):
+        if r.n > room:
+            break
+        least, room = r.bin, room - r.n
+    return short & (bin_ >= least)
+
+
+def _packed(ids: Column) -> Column:
+    """Ids of under 2 ** 16 as little-endian unsigned 32-bit numbers."""
+    little = lambda i: F.concat(F.substring(F.hex(i + (1 << 16)), 4, 2), F.substring(F.hex(i + (1 << 16)), 2, 2), F.lit("0000"))
+    return F.unhex(F.array_join(F.transform(ids, little), ""))
 
 
-def as_bytes(ids: Column, path: str) -> Column:
-    """Ids as little-endian unsigned 32-bit numbers."""
-    little = _array(_texts(path)["little"], "string")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(little, i)), ""))
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id and ids (array<int>) of every text."""
+    import uuid
+
+    import pyarrow as pa
+
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    with _short_plans(spark):
+        words = save(_count(docs).select("word", "n", _packed(fold(F.col("word"), path)).alias("code")), "words")
+    release(spark)
+    often = _frequent(words)
+    table = words.where(often).select("word", "code").toArrow()  # at most MOST_WORDS rows of bounded length
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, sink.getvalue().to_pybytes()))
+    del table, sink
+
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+
+    def missing(batches):
+        coder = _coder(sent)
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                keys, found = [], []
+                for k, t in zip(b.column(0).slice(s, 256).to_pylist(), b.column(1).slice(s, 256).to_pylist(), strict=True):
+                    some = coder.missing(t)
+                    keys += [k] * len(some)
+                    found += some
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.string())], names=["key", "word"])
+
+    rest = keyed.select("key", "text").mapInArrow(missing, "key long, word string")
+    rest = save(rest.join(words.where(~often).select("word", "code"), "word"), "rest")
+    drop_saved(words)
+    release(spark)
+    lists = rest.groupBy("key").agg(F.collect_set(F.struct("word", "code")).alias("own"))
+    both = keyed.join(lists, "key", "left").select("doc_id", "text", F.col("own.word").alias("words"), F.col("own.code").alias("codes"))
+
+    def coded(batches):
+        import numpy as np
+
+        coder = _coder(sent)
+        for b in batches:
+            for s in range(0, b.num_rows, 128):
+                some = b.slice(s, 128)
+                cols = [c.to_pylist() for c in some.columns[1:]]
+                ids = [np.frombuffer(coder.encode(t, dict(zip(w or (), c or (), strict=True))), "<u4").astype(np.int32) for t, w, c in zip(*cols, strict=True)]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
+
+    return both.mapInArrow(coded, "doc_id long, ids array<int>")
+
+
+@lru_cache(maxsize=1)
+def _pieces(path: str) -> list[bytes]:
+    by_id = {i: b for b, i in load(path).items()}
+    return [by_id.get(i, b"") for i in range(max(by_id) + 1)]
 
 
-def decode(ids: Column, path: str) -> Column:
+def decode(ids, path: str) -> bytes:
     """The bytes of the ids' pieces in turn."""
-    pieces = _array(_texts(path)["pieces"], "string")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+    return b"".join(map(_pieces(path).__getitem__, ids))
+
+
+def with_digest(encoded: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) of (doc_id, ids)."""
+
+    def make():
+        import numpy as np
+
+        def each(c: dict) -> dict:
+            out: dict = {"doc_id": c["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+            for ids in c["ids"]:
+                ids = np.asarray(ids, "<u4")
+                out["n_tokens"].append(len(ids))
+                out["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(decode(ids.tolist(), path)).hexdigest())
+            return out | ({"ids": c["ids"]} if keep_ids else {})
+
+        return each
+
+    return map_batches(encoded, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 def digest(encoded: DataFrame, path: str) -> DataFrame:
-    ids = F.col("ids")
-    return encoded.select(
-        "doc_id",
-        F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(as_bytes(ids, path), 256).alias("ids_sha256"),
-        F.sha2(decode(ids, path), 256).alias("decoded_sha256"),
-    )
+    return with_digest(encoded, path)

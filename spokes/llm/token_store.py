@@ -1,8 +1,7 @@
 """Token ids on disk: one zstandard frame per document under a shared dictionary.
 
-Encoding: the tokenizer never joins characters across ASCII white space (its
-pre-tokenizer drops it), so a text's ids are those of its words in turn; words
-are encoded once per memo and looked up after that.
+Encoding is the tokenizers library's, with its default handling of special strings
+in texts; memos of bounded size keep the ids of recent words (see Encoder).
 
 Format, all of it tables written by Spark into one folder:
 
@@ -24,7 +23,9 @@ others; equal doc_ids: by text; empty table: no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import sys
 from array import array
 from functools import lru_cache
@@ -33,23 +34,83 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 20_000, 65_536
 BLOCK_BYTES, BLOCK_DOCS, LEVEL = 4 << 20, 4096, 3
+#: Bytes of each of two memos in a Python worker (twice as many while the older half is kept); an entry takes so many besides its key and value.
+MEMO, ENTRY = 48 << 20, 180
+#: Letters of Latin-1 that are one letter in lower case; words of them and of printable ASCII alone.
+LATIN = "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
+SIMPLE = re.compile(f"[!-~{LATIN}]+").fullmatch
+
+
+class Recent:
+    """Values by key. Beyond ``most`` bytes of keys and values the older half goes, so memory is bounded whatever the keys are."""
+
+    def __init__(self, most: int):
+        self.most, self.size, self.young, self.old = most, 0, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys without a value; all others are in ``young`` until the next call."""
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+        new, get = [], self.old.get
+        for k in keys - self.young.keys():
+            v = get(k)
+            if v is None:
+                new.append(k)
+            else:
+                self.add(k, v)
+        return new
+
+    def add(self, key, value) -> None:
+        self.young[key] = value
+        self.size += len(key) + len(value) + ENTRY
 
 
 class Encoder:
-    """Ids of a text as little-endian bytes of ``width`` each, the end id last."""
+    """Ids of a text as little-endian bytes of ``width`` each, the end id last.
+
+    The library encodes whole texts that hold one of its added tokens. In others its
+    normalizer and pattern never join characters across ASCII white space, so a
+    text's ids are those of its words in turn. Words of printable ASCII and Latin-1
+    letters (lower case and composition are the same for them everywhere) are cut
+    into pieces by the file's own pattern, and the pieces that are new go through the
+    library's model, many at a time: the last id of a piece marks its end. Other
+    words go through the whole tokenizer. Files of any other build are encoded text
+    by text.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         self.end = end_id.to_bytes(self.width, "little")
-        self.memo: dict[bytes, bytes] = {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
+        with open(path, encoding="utf-8") as f:
+            built = json.load(f)
+        pattern = word_pattern(built)
+        self.by_word = pattern is not None
+        if pattern is not None:
+            self._by_pieces(pattern, built["model"]["end_of_word_suffix"])
+
+    def _by_pieces(self, pattern: str, suffix: str) -> None:
+        import numpy as np
+        import regex
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
+
+        self.find = regex.compile(pattern + r"|\n").findall
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in LATIN})
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.words, self.pieces = Recent(MEMO), Recent(MEMO)
 
     def pack(self, ids: list[int]) -> bytes:
         a = array("H" if self.width == 2 else "I", ids)
@@ -57,25 +118,61 @@ class Encoder:
             a.byteswap()
         return a.tobytes()
 
-    def learn(self, words: list[bytes], most: int = 1_000_000) -> None:
-        if len(self.memo) + len(words) > most:
-            self.memo.clear()
-        for s in range(0, len(words), 4096):
-            some = words[s : s + 4096]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            for w, e in zip(some, coded, strict=True):
-                self.memo[w] = self.pack(e.ids)
+    def whole(self, text: str) -> bytes:
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def learn_pieces(self, pieces: set[str]) -> None:
+        import numpy as np
+
+        new, add, width = self.pieces.missing(pieces), self.pieces.add, self.width
+        for s in range(0, len(new), 1024):
+            some = new[s : s + 1024]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some).translate(self.letters)], add_special_tokens=False)[0].ids)
+            at = (np.flatnonzero(self.ends[ids]) + 1) * width
+            if len(at) != len(some):
+                raise ValueError("a piece doesn't end with the mark of a word's end")
+            raw, start = ids.astype(f"<u{width}").tobytes(), 0
+            for k, end in zip(some, at.tolist(), strict=True):
+                add(k, raw[start:end])
+                start = end
+
+    def learn_words(self, words: set[bytes]) -> None:
+        simple, texts, add = [], [], self.words.add
+        for w in self.words.missing(words):
+            t = w.decode("utf-8", "replace")
+            if SIMPLE(t) is None:
+                add(w, self.whole(t))
+            else:
+                simple.append(w)
+                texts.append(t)
+        if not simple:
+            return
+        cut = self.find("\n".join(texts).lower())
+        self.learn_pieces(set(cut) - {"\n"})
+        code, start = self.pieces.young, 0
+        for w in simple:
+            end = cut.index("\n", start) if w is not simple[-1] else len(cut)
+            add(w, code[cut[start]] if end == start + 1 else b"".join(map(code.__getitem__, cut[start:end])))
+            start = end + 1
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        memo = self.memo
-        new = {w for words in split for w in words if w not in memo}
-        if new:
-            before = len(memo)
-            self.learn(list(new))
-            if len(memo) < before:  # emptied: words of this batch went with the rest
-                self.learn([w for w in {w for words in split for w in words} if w not in memo], 1 << 62)
-        return [b"".join([*map(memo.__getitem__, words), self.end]) for words in split]
+        split = [None if not self.by_word or self.added and self.added.search(t or "") else (t or "").encode("utf-8", "replace").split() for t in texts]
+        if self.by_word:
+            self.learn_words(set().union(*(words for words in split if words)))
+            code = self.words.young.__getitem__
+        return [(self.whole(t or "") if words is None else b"".join(map(code, words))) + self.end for t, words in zip(texts, split, strict=True)]
+
+
+def word_pattern(built: dict) -> str | None:
+    """The pattern of words in a tokenizer file, if it is built as the class above needs it."""
+    kinds = [n["type"] for n in (built.get("normalizer") or {}).get("normalizers", [])]
+    steps = (built.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if kinds != ["NFC", "Replace", "Lowercase"] or built["normalizer"]["normalizers"][1]["pattern"] != {"Regex": r"\s+"} or [x["type"] for x in steps] != ["Split", "ByteLevel"]:
+        return None
+    split, level = steps
+    if (split["behavior"], split["invert"], level["add_prefix_space"], level["use_regex"]) != ("Removed", True, False, False):
+        return None
+    return split["pattern"].get("Regex")
 
 
 @lru_cache(maxsize=2)
@@ -132,8 +229,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> None:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "block", "start_in_part", "dictionary_sha256", "doc_ids", "offsets", "n_tokens", "blob"])
 
         for b in batches:
-            for s in range(0, b.num_rows, 256):
-                some = b.slice(s, 256)
+            for s in range(0, b.num_rows, 512):
+                some = b.slice(s, 512)
                 for i, raw in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
                     frame = pack.compress(raw)
                     ids.append(i)

@@ -5,6 +5,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from spokes.llm import byte_bpe, decontaminate, jaccard_join, kneser_ney, q04, substring_dedup
 
 from .conftest import ODD
@@ -123,17 +124,38 @@ def test_decontamination(spark, odd_docs, no_docs, monkeypatch):
     assert decontaminate.stage(odd_docs, bench).count() == odd_docs.count()
 
 
-def test_bpe(spark, odd_docs, no_docs, tokenizer):
-    texts = [t for t in ODD if not t or len(t) < 3000] + ["  two  spaces\n\n\nlines \t", "é  x", "aaaaaaaaaaaaaaaaaaaa", "'s's 'S don't I'LL", "١٢٣ ⅷ ²"]
-    got = byte_bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), q04.ranks())
-    for r in byte_bpe.digest(got, q04.ranks()).join(got, "doc_id").collect():
-        t = texts[r.doc_id] or ""
-        assert list(r.ids) == tokenizer.encode_ordinary(t), t
-        assert r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
-        assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest()
+def coded(tokenizer, rows):
+    def of(i, t):
+        ids = tokenizer.encode_ordinary(t or "")
+        return i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()
+
+    return sorted((of(i, t) for i, t in rows), key=str)
+
+
+@pytest.mark.parametrize("most", [byte_bpe.MOST_WORDS, 40, 0])
+def test_bpe(spark, odd_docs, no_docs, tokenizer, texts, monkeypatch, most):
+    """Words that are broadcast, that are joined, and both, over nulls, long texts, repeated rows and clashing columns."""
+    monkeypatch.setattr(byte_bpe, "MOST_WORDS", most)
+    more = ["  two  spaces\n\n\nlines \t", "é  x", "a" * 200_000, "ab" * 1500 + "c" * 777, "'s's 'S don't I'LL x 's", "١٢٣ ⅷ ² a\x1c b \x85 c", "\x00 z"]
+    rows = [(100 + i, t) for i, t in enumerate(more)] + [(1000 + i, t) for i, t in texts[:60]]
+    docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = byte_bpe.digest(byte_bpe.encode(docs, q04.ranks()), q04.ranks()).collect()
+    every = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()] + rows
+    assert sorted(map(tuple, got), key=str) == coded(tokenizer, every)
+    assert byte_bpe.encode(odd_docs, q04.ranks()).count() == len(ODD) + 2
     assert byte_bpe.encode(no_docs, q04.ranks()).count() == 0
 
 
+def test_bpe_folds_tokens_and_decodes(spark, tokenizer):
+    ranks = byte_bpe.load(q04.ranks())
+    assert byte_bpe.is_ordered(ranks)
+    assert not byte_bpe.is_ordered({b"a": 0, b"b": 1, b"c": 2, b"ab": 9, b"abc": 5})
+    some = [t.decode() for t in ranks if len(t) > 1 and t.isascii()][::40]
+    got = spark.createDataFrame([(w,) for w in some], "w string").select("w", byte_bpe.fold(F.col("w"), q04.ranks()).alias("ids")).collect()
+    assert all(list(r.ids) == [ranks[r.w.encode()]] for r in got)
+    assert byte_bpe.decode(tokenizer.encode_ordinary("naïve 日本"), q04.ranks()).decode() == "naïve 日本"
+
+
 def test_kneser_ney_sums_to_one_and_separates(spark, odd_docs, no_docs):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     p = np.exp(kneser_ney.dense(kneser_ney.estimate(kneser_ney.count_ngrams(docs))).astype(np.float64)).reshape(-1, kneser_ney.SIZE)

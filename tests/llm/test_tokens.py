@@ -46,7 +46,6 @@ def expected_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [1]
 
 
@@ -57,6 +56,15 @@ def test_word_by_word_equals_whole_texts(texts):
         assert np.frombuffer(raw, "<u2").tolist() == expected_ids(t), t and t[:60]
 
 
+def test_memos_are_bounded_and_lose_nothing(texts, monkeypatch):
+    monkeypatch.setattr(token_store, "MEMO", 20_000)
+    encode = token_store.Encoder(P.path("word_bpe_49k.json"), 1)
+    for s in range(0, 40, 4):
+        some = [t for _, t in texts[s : s + 4]]
+        assert [np.frombuffer(x, "<u2").tolist() for x in encode(some)] == [expected_ids(t) for t in some]
+    assert encode.words.old and encode.pieces.old
+
+
 def test_store_round_trip(spark, odd_docs, no_docs, texts, tmp_path):
     folder = f"file://{tmp_path}/odd"
     token_store.write(odd_docs, P.path("word_bpe_49k.json"), 1, folder)
