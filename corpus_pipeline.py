@@ -8,7 +8,6 @@ columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spokes.llm import byte_bpe, decontaminate, jaccard_join, quality_rules, secret_scan
 from spokes.llm.q04 import ranks
@@ -37,15 +36,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, their count, and the hashes of the ids and of the decoded bytes."""
-    coded = byte_bpe.encode(docs, ranks())
-    ids = F.col("ids")
-    return coded.select(
-        "doc_id",
-        "ids",
-        F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(byte_bpe.as_bytes(ids, ranks()), 256).alias("ids_sha256"),
-        F.sha2(byte_bpe.decode(ids, ranks()), 256).alias("decoded_sha256"),
-    )
+    return byte_bpe.with_digest(byte_bpe.encode(docs, ranks()), ranks(), keep_ids=True)
 
 
 STAGES = [
