@@ -20,7 +20,8 @@ MOST_LITERALS (counted first); beyond that they are joined.
 Defined cases: null or empty text: no words, no leak; items of fewer than five
 words: no shingle, never found; documents shorter than an item: their one window
 is the whole document; null doc_id: reported under null; repeated rows: reported
-once; ties: windows aligned with an item by a shared shingle, then the first one; empty tables: no rows.
+once; rows of one doc_id: each is judged by its own text; very long texts: whole; ties: the first window; empty
+tables: no rows; other columns are ignored by :func:`find_leaks` and kept by :func:`stage`, whatever their names.
 """
 
 from __future__ import annotations
@@ -82,9 +83,14 @@ def item_index(items: DataFrame) -> DataFrame:
     return rows.select("item_id", "n", "x.block", F.explode(F.transform(F.array(*map(F.lit, flips)), lambda f: F.col("x.v").bitwiseXOR(f.cast("long")))).alias("key"))
 
 
+def _uid() -> Column:
+    """128 bits of a row's doc_id and text."""
+    return F.unhex(F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))))
+
+
 def _hit_documents(docs: DataFrame, shingles: DataFrame) -> DataFrame:
     """uid, doc_id, w, h (hashes), hits (positions) of documents with a shingle of an item."""
-    split = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", normal(F.col("text")).alias("w"))
+    split = docs.select(_uid().alias("uid"), "doc_id", normal(F.col("text")).alias("w"))
     hashed = split.select("uid", "doc_id", "w", shingle_hashes(F.col("w")).alias("h"))
     some = [r.h for r in shingles.select("h").distinct().limit(MOST_LITERALS + 1).collect()]
     if len(some) <= MOST_LITERALS:
@@ -114,20 +120,17 @@ def _starts() -> Column:
     return F.array_distinct(F.flatten(F.transform(ends, of)))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start_word, similarity (per thousand): each leaked item's best window in a document."""
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """uid, doc_id, item_id, start, i (weight in common), t (both weights) of all windows that are similar to an item."""
     items = save(item_table(benchmark), "items")
     shingles = items.select("item_id", "n", F.posexplode("shingles").alias("q", "h"))
     found = save(_hit_documents(docs, shingles), "hits").dropDuplicates(["uid"])
 
     anchors = found.select("uid", F.size("w").alias("total"), "h", F.explode("hits").alias("pos")).select("uid", "total", "pos", F.element_at("h", F.col("pos") + 1).alias("h"))
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("q"), F.col("total") - F.col("n")))
-    shared = anchors.join(shingles, "h")
-    aligned = shared.select("uid", "n", start.cast("int").alias("start")).distinct().withColumn("aligned", F.lit(1))
-    held = shared.groupBy("uid", "item_id", "n", "total").agg(F.array_sort(F.collect_set("pos")).alias("p"))
-    starts = held.select("uid", "n", F.explode(_starts()).alias("start")).distinct().join(aligned, ["uid", "n", "start"], "left")
+    held = anchors.join(shingles.select("item_id", "n", "h"), "h").groupBy("uid", "item_id", "n", "total").agg(F.array_sort(F.collect_set("pos")).alias("p"))
+    starts = held.select("uid", "n", F.explode(_starts()).alias("start")).distinct()
     cut = lambda c, more: F.slice(c, F.col("start") + 1, F.greatest(F.col("n") - more, F.lit(0)))
-    windows = starts.join(found.select("uid", "doc_id", "w", "h"), "uid").select("uid", "doc_id", "n", "start", F.coalesce("aligned", F.lit(0)).alias("aligned"), cut("w", 0).alias("w"), cut("h", SIZE - 1).alias("h"))
+    windows = starts.join(found.select("uid", "doc_id", "w", "h"), "uid").select("uid", "doc_id", "n", "start", cut("w", 0).alias("w"), cut("h", SIZE - 1).alias("h"))
     windows = save(windows.withColumn("fp", simhash("h")), "windows")
 
     blocks = F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("key")) for b in range(BLOCKS)))
@@ -136,16 +139,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = pairs.join(items.select("item_id", F.col("fp").alias("item_fp")), "item_id").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
 
     texts = benchmark.select("item_id", normal(F.col("text")).alias("item_w"))
-    both = near.select("uid", "n", "start", "item_id").join(windows.select("uid", "doc_id", "n", "start", "aligned", "w"), ["uid", "n", "start"]).join(texts, "item_id")
-    both = both.select("doc_id", "item_id", "start", "aligned", shingle_words(F.col("w")).alias("a"), shingle_words(F.col("item_w")).alias("b"))
+    both = near.select("uid", "n", "start", "item_id").join(windows.select("uid", "doc_id", "n", "start", "w"), ["uid", "n", "start"]).join(texts, "item_id")
+    both = both.select("uid", "doc_id", "item_id", "start", shingle_words(F.col("w")).alias("a"), shingle_words(F.col("item_w")).alias("b"))
     times = lambda c, x: F.size(F.filter(c, lambda y: y == x))
     common = F.aggregate(F.array_distinct("b"), F.lit(0), lambda s, x: s + F.least(times("a", x), times("b", x)))
-    scored = both.select("doc_id", "item_id", "start", "aligned", common.alias("i"), (F.size("a") + F.size("b")).alias("t")).where(SIMILAR[1] * F.col("i") >= SIMILAR[0] * (F.col("t") - F.col("i")))
-    best = F.max(F.struct(F.expr("i * 1000 div (t - i)").alias("similarity"), F.col("aligned"), (-F.col("start")).alias("minus"))).alias("best")
-    return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.minus")).cast("long").alias("start_word"), F.col("best.similarity").cast("long").alias("similarity"))
+    scored = both.select("uid", "doc_id", "item_id", "start", common.alias("i"), (F.size("a") + F.size("b")).alias("t"))
+    return scored.where(SIMILAR[1] * F.col("i") >= SIMILAR[0] * (F.col("t") - F.col("i")))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, start_word, similarity (per thousand): each leaked item's best window in a document."""
+    best = F.max(F.struct(F.expr("i * 1000 div (t - i)").alias("similarity"), (-F.col("start")).alias("minus"))).alias("best")
+    by_item = _leaks(docs, benchmark).groupBy("doc_id", "item_id").agg(best)
+    return by_item.select("doc_id", "item_id", (-F.col("best.minus")).cast("long").alias("start_word"), F.col("best.similarity").cast("long").alias("similarity"))
 
 
 def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that leak no item, with all their columns."""
-    leaks = save(find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+    leaks = save(_leaks(docs, benchmark).select(F.col("uid").alias("_leak")).distinct(), "leaks")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), _uid().alias("_uid"))
+    return keyed.join(leaks, keyed["_uid"] == leaks["_leak"], "left_anti").select("_row.*")

@@ -23,8 +23,9 @@ s AS (
   FROM (SELECT kind, id, w, len(w) AS n, unnest(range(1, len(w) - 3)) AS i FROM w)),
 d AS (SELECT id AS doc_id, n AS total, pos, s FROM s WHERE kind = 0),
 b AS (SELECT id AS item_id, n, pos AS q, s FROM s WHERE kind = 1),
-starts AS (SELECT DISTINCT doc_id, n, greatest(0, least(pos - q, total - n)) AS start FROM d JOIN b USING (s)),
-tries AS (SELECT doc_id, item_id, n, start FROM starts JOIN (SELECT DISTINCT item_id, n FROM b) USING (n)),
+hits AS (SELECT DISTINCT doc_id, item_id, n, total, pos FROM d JOIN b USING (s)),
+tries AS (
+  SELECT DISTINCT doc_id, item_id, n, unnest(range(greatest(0, pos - (n - 5)), least(pos, greatest(0, total - n)) + 1)) AS start FROM hits),
 win AS (
   SELECT doc_id, item_id, start, s, count(*) AS k FROM tries JOIN d USING (doc_id)
   WHERE pos >= start AND pos <= start + n - 5 GROUP BY ALL),
