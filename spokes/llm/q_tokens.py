@@ -26,4 +26,4 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
