@@ -20,8 +20,7 @@ The ids go back to the documents in two ways, at any size of the corpus:
   whole table), each of at most WORD_BYTES, are broadcast: that bounds the broadcast;
 * all others are joined: (document, word) pairs meet the folded words by word. Such
   a word can't be a hot key, as MOST_WORDS others are more frequent, or it is long.
-  A document's list of them meets its text by a 64-bit key; documents whose keys
-  collide only get a longer list to look words up in.
+  A document's list of their ids, in the order of its text, meets it by 128 bits.
 
 Decoding concatenates the binary pieces of the ids.
 
@@ -42,7 +41,6 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokes.llm._arrow import map_batches
 from spokes.storage import drop_saved, release, save
 
 #: Sizes of the map, and the mark of an empty slot.
@@ -51,7 +49,7 @@ NONE, BASE = 1 << 16, 256
 #: Words of up to so many bytes are merged one pair at a time, longer ones all equal pairs at a time.
 SHORT = 48
 #: Bounds of the broadcast words and of the memos in Python workers.
-MOST_WORDS, WORD_BYTES, MEMO = 1 << 19, 64, 200_000
+MOST_WORDS, WORD_BYTES, MEMO = 3 << 18, 64, 200_000
 
 
 @lru_cache(maxsize=1)
@@ -138,23 +136,26 @@ def _least(ranks: Column) -> Column:
 
 
 def _fold_short(start: Column, table: Column) -> Column:
-    """One merge a step, that of the least pair; the state keeps the ranks, as a merge changes two of them."""
+    """One merge a step, that of the least pair; the state keeps the ranks, as a merge changes two of them, and the least of them."""
     none = F.array().cast("array<bigint>")
 
-    def merge(s: Column, m: Column) -> Column:
-        ids, ranks, p, one = s["ids"], s["ranks"], m.bitwiseAND(0x7FFFFFFF).cast("int"), F.shiftright(m, 32) + BASE
+    def state(ids: Column, ranks: Column) -> Column:
+        return _bind(ranks, lambda r: F.struct(ids.alias("ids"), r.alias("ranks"), _least(r).alias("least")))
+
+    def merge(s: Column) -> Column:
+        ids, ranks, p, one = s["ids"], s["ranks"], s["least"].bitwiseAND(0x7FFFFFFF).cast("int"), F.shiftright(s["least"], 32) + BASE
         before = F.when(p > 0, F.array(_pair(F.get(ids, p - 1), one))).otherwise(none)
         after = F.when(p + 1 < F.size(ranks), F.array(_pair(one, F.get(ids, p + 2)))).otherwise(none)
-        return F.struct(
-            F.concat(F.slice(ids, 1, p), F.array(one), F.slice(ids, p + 3, F.size(ids))).alias("ids"),
-            F.concat(F.slice(ranks, 1, F.greatest(p - 1, F.lit(0))), F.transform(F.concat(before, after), lambda k: _rank(k, table)), F.slice(ranks, p + 3, F.size(ids))).alias("ranks"),
+        return state(
+            F.concat(F.slice(ids, 1, p), F.array(one), F.slice(ids, p + 3, F.size(ids))),
+            F.concat(F.slice(ranks, 1, F.greatest(p - 1, F.lit(0))), F.transform(F.concat(before, after), lambda k: _rank(k, table)), F.slice(ranks, p + 3, F.size(ids))),
         )
 
     def folded(ids: Column) -> Column:
         n = F.size(ids)
         ranks = F.transform(F.zip_with(F.slice(ids, 1, n - 1), F.slice(ids, 2, n - 1), _pair), lambda k: _rank(k, table))
-        step = lambda s, _: _bind(_least(s["ranks"]), lambda m: F.when(m.isNull(), s).otherwise(merge(s, m)))
-        return F.aggregate(F.sequence(F.lit(1), n - 1), F.struct(ids.alias("ids"), ranks.alias("ranks")), step, lambda s: F.transform(s["ids"], lambda x: (x - BASE).cast("int")))
+        step = lambda s, _: F.when(s["least"].isNull(), s).otherwise(merge(s))
+        return F.aggregate(F.sequence(F.lit(1), n - 1), state(ids, ranks), step, lambda s: F.transform(s["ids"], lambda x: (x - BASE).cast("int")))
 
     return F.when(F.length(start) > 1, _bind(F.transform(F.split(start, ""), lambda c: F.ascii(c).cast("long")), folded)).otherwise(F.array(F.ascii(start) - BASE))
 
@@ -205,7 +206,7 @@ def _short_plans(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-SPACED, CUT = re.compile(r"\s "), re.compile(r"(?<=\S) ")
+SPACED, CUT, SIGNS = re.compile(r"\s "), re.compile(r"(?<=\S) "), tuple(".,;:!?")
 
 
 def segments(text: str) -> list[str]:
@@ -219,7 +220,7 @@ def segments(text: str) -> list[str]:
 
 
 class Words:
-    """Cuts texts into words by the pattern; segments and their words are remembered."""
+    """Cuts texts into words by the pattern."""
 
     def __init__(self):
         import public_tokenizers
@@ -227,6 +228,14 @@ class Words:
 
         self.find = regex.compile(public_tokenizers.PATTERN).findall
 
+    def cut(self, lead: str, segment: str) -> tuple | list:
+        """The words of ``lead + segment``; letters alone, or with one sign at the end, don't need the pattern."""
+        if segment.isalpha():
+            return (lead + segment,)
+        if segment.endswith(SIGNS) and segment[:-1].isalpha():
+            return lead + segment[:-1], segment[-1]
+        return self.find(lead + segment)
+
     def count(self, texts, most: int):
         """Yields dicts of counts of words, none over ``most`` distinct segments and a text."""
         from collections import Counter
@@ -234,11 +243,11 @@ class Words:
         first, rest = Counter(), Counter()
 
         def flush():
-            out: Counter = Counter()
+            out: dict[str, int] = {}
             for lead, some in (("", first), (" ", rest)):
                 for s, n in some.items():
-                    for w in self.find(lead + s):
-                        out[w] += n
+                    for w in self.cut(lead, s):
+                        out[w] = out.get(w, 0) + n
                 some.clear()
             return out
 
@@ -263,35 +272,49 @@ class Coder(Words):
         self.memo: dict[str, bytes] = {}
 
     def missing(self, text: str) -> list[str]:
-        """The distinct words that aren't broadcast."""
+        """The distinct words that aren't broadcast, in the order of the text."""
         out, memo, codes = {}, self.memo, self.codes
         s = segments(text)
-        for seg in [s[0], *(f" {x}" for x in set(s[1:]) if x not in memo)]:
-            new = [w for w in self.find(seg) if w not in codes]
-            if new:
-                out.update(dict.fromkeys(new))
-            elif seg[:1] == " ":
-                self.keep(seg[1:], b"".join(map(codes.__getitem__, self.find(seg))))
+        for w in self.cut("", s[0]):
+            if w not in codes:
+                out[w] = None
+        for seg in dict.fromkeys(s[1:]):
+            if seg not in memo:
+                words = self.cut(" ", seg)
+                new = [w for w in words if w not in codes]
+                if new:
+                    out.update(dict.fromkeys(new))
+                else:
+                    self.keep(seg, words)
         return list(out)
 
-    def keep(self, key: str, value: bytes) -> None:
+    def keep(self, key: str, words) -> None:
         if len(key) <= WORD_BYTES:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            self.memo[key] = value
+            self.memo[key] = self.codes[words[0]] if len(words) == 1 else b"".join(map(self.codes.__getitem__, words))
+
+    def encode(self, text: str, own: dict[int, bytes]) -> bytes:
+        """``own``: codes of the missing words by their number in the order of the text."""
+        memo, codes, seen, out = self.memo, self.codes, {}, []
+        add = out.append
+
+        def of(words):
+            for w in words:
+                code = codes.get(w)
+                add(own[seen.setdefault(w, len(seen))] if code is None else code)
 
-    def encode(self, text: str, own: dict[str, bytes]) -> bytes:
-        memo, codes = self.memo, self.codes
         s = segments(text)
-        out = [codes.get(w) or own[w] for w in self.find(s[0])]
+        of(self.cut("", s[0]))
         for x in s[1:]:
             code = memo.get(x)
             if code is None:
-                words = self.find(f" {x}")
-                code = b"".join([codes.get(w) or own[w] for w in words])
-                if not own or all(w in codes for w in words):
-                    self.keep(x, code)
-            out.append(code)
+                words = self.cut(" ", x)
+                if all(w in codes for w in words):
+                    self.keep(x, words)
+                of(words)
+            else:
+                add(code)
         return b"".join(out)
 
 
@@ -325,7 +348,9 @@ def _count(docs: DataFrame) -> DataFrame:
             for s in range(0, len(words), 16_384):
                 yield pa.RecordBatch.from_arrays([pa.array(words[s : s + 16_384], pa.string()), pa.array(n[s : s + 16_384], pa.int64())], names=["word", "n"])
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # Dealt by number, as each task folds its words: a partition of few bytes is much work.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select("text").mapInArrow(run, "word string, n long").repartition(n, "word").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _frequent(words: DataFrame) -> Column:
@@ -346,11 +371,13 @@ def _packed(ids: Column) -> Column:
     return F.unhex(F.array_join(F.transform(ids, little), ""))
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (array<int>) of every text."""
+def _encoded(docs: DataFrame, path: str, rows, schema: str) -> DataFrame:
+    """``rows()`` gives, once a task, a function from lists of doc_ids and of packed ids to the columns of ``schema``."""
     import uuid
 
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -362,42 +389,59 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
+    del table
     sent = spark.sparkContext.broadcast((uuid.uuid4().hex, sink.getvalue().to_pybytes()))
-    del table, sink
+    del sink
 
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    # 128 bits, and the order of a text's words: so the words themselves don't come along to the documents.
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(1), "doc_id").alias("k2"), "doc_id", "text")
 
     def missing(batches):
         coder = _coder(sent)
         for b in batches:
             for s in range(0, b.num_rows, 256):
-                keys, found = [], []
-                for k, t in zip(b.column(0).slice(s, 256).to_pylist(), b.column(1).slice(s, 256).to_pylist(), strict=True):
-                    some = coder.missing(t)
-                    keys += [k] * len(some)
-                    found += some
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.string())], names=["key", "word"])
-
-    rest = keyed.select("key", "text").mapInArrow(missing, "key long, word string")
-    rest = save(rest.join(words.where(~often).select("word", "code"), "word"), "rest")
+                some = b.slice(s, 256)
+                at, number, found = [], [], []
+                for i, t in enumerate(some.column(2).to_pylist()):
+                    new = coder.missing(t)
+                    at += [i] * len(new)
+                    number += range(len(new))
+                    found += new
+                at = pa.array(at, pa.int32())
+                cols = [some.column(0).take(at), some.column(1).take(at), pa.array(number, pa.int32()), pa.array(found, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "number", "word"])
+
+    rest = keyed.select("k1", "k2", "text").mapInArrow(missing, "k1 long, k2 long, number int, word string")
+    rest = save(rest.join(words.where(~often).select("word", "code"), "word").select("k1", "k2", "number", "code"), "rest")
     drop_saved(words)
     release(spark)
-    lists = rest.groupBy("key").agg(F.collect_set(F.struct("word", "code")).alias("own"))
-    both = keyed.join(lists, "key", "left").select("doc_id", "text", F.col("own.word").alias("words"), F.col("own.code").alias("codes"))
+    lists = rest.groupBy("k1", "k2").agg(F.collect_set(F.struct("number", "code")).alias("own"))
+    both = keyed.join(lists, ["k1", "k2"], "left").select("doc_id", "text", F.col("own.number").alias("numbers"), F.col("own.code").alias("codes"))
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def coded(batches):
-        import numpy as np
-
-        coder = _coder(sent)
+        coder, make = _coder(sent), rows()
         for b in batches:
             for s in range(0, b.num_rows, 128):
-                some = b.slice(s, 128)
-                cols = [c.to_pylist() for c in some.columns[1:]]
-                ids = [np.frombuffer(coder.encode(t, dict(zip(w or (), c or (), strict=True))), "<u4").astype(np.int32) for t, w, c in zip(*cols, strict=True)]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
+                ids, *cols = [c.to_pylist() for c in b.slice(s, 128).columns]
+                packed = [coder.encode(t, dict(zip(n or (), c or (), strict=True))) for t, n, c in zip(*cols, strict=True)]
+                yield pa.RecordBatch.from_pydict(make(ids, packed), schema=arrow)
 
-    return both.mapInArrow(coded, "doc_id long, ids array<int>")
+    return both.mapInArrow(coded, schema)
+
+
+def _numbers(packed: list[bytes]):
+    """Packed ids as one Arrow array of lists."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id and ids (array<int>) of every text."""
+    return _encoded(docs, path, lambda: lambda ids, packed: {"doc_id": ids, "ids": _numbers(packed)}, "doc_id long, ids array<int>")
 
 
 @lru_cache(maxsize=1)
@@ -411,25 +455,21 @@ def decode(ids, path: str) -> bytes:
     return b"".join(map(_pieces(path).__getitem__, ids))
 
 
-def with_digest(encoded: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) of (doc_id, ids)."""
+def encode_with_digest(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (of the bytes decoded from the ids), and the ids on request."""
 
-    def make():
+    def rows():
         import numpy as np
 
-        def each(c: dict) -> dict:
-            out: dict = {"doc_id": c["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for ids in c["ids"]:
-                ids = np.asarray(ids, "<u4")
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(decode(ids.tolist(), path)).hexdigest())
-            return out | ({"ids": c["ids"]} if keep_ids else {})
-
-        return each
-
-    return map_batches(encoded, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+        def of(doc_ids, packed):
+            out = {
+                "doc_id": doc_ids,
+                "n_tokens": [len(x) // 4 for x in packed],
+                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in packed],
+                "decoded_sha256": [hashlib.sha256(decode(np.frombuffer(x, "<u4").tolist(), path)).hexdigest() for x in packed],
+            }
+            return out | ({"ids": _numbers(packed)} if keep_ids else {})
 
+        return of
 
-def digest(encoded: DataFrame, path: str) -> DataFrame:
-    return with_digest(encoded, path)
+    return _encoded(docs, path, rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

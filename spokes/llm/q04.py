@@ -15,4 +15,4 @@ def ranks() -> str:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.digest(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks()), ranks())
+    return byte_bpe.encode_with_digest(table(spark, sf_dir, "documents"), ranks())
