@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spokes.llm import byte_bpe, decontaminate, jaccard_join, quality_rules, secret_scan
 from spokes.llm.q04 import ranks
+from spokes.llm.q_tokens import vocabulary
 from spokes.storage import release, save
 
 
@@ -31,12 +32,12 @@ def keep_clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts masked."""
-    return secret_scan.stage(docs)
+    return secret_scan.stage(docs, vocabulary("word_bpe_49k.json"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, their count, and the hashes of the ids and of the decoded bytes."""
-    return byte_bpe.with_digest(byte_bpe.encode(docs, ranks()), ranks(), keep_ids=True)
+    return byte_bpe.encode_with_digest(docs, ranks(), keep_ids=True)
 
 
 STAGES = [
