@@ -16,7 +16,7 @@ q75 + FENCE * (q75 - q25) + slack, and for ``length`` the mirror image below.
 A (language, source) cell of fewer than MIN_CELL documents takes the merged
 sketch of its language, a language below that the merged sketch of all.
 
-Defined cases: null text: no words, so the base rules reject it; null language or
+Defined cases: very long texts: whole, and a document is one row; null text: no words, so the base rules reject it; null language or
 source: a cell of its own; repeated rows: each is judged; ties: quantiles are the
 smallest bin whose cumulative share reaches the level; empty table: no rows;
 other columns are ignored by :func:`features` and kept by :func:`stage`.

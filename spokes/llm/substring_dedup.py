@@ -13,7 +13,8 @@ cover no other words. If nothing survives a level, the next isn't run.
 * Counts are (min id, max id) per hash, combined before the shuffle, so a passage
   in a third of all documents is one row per task; the join back to the documents
   is an equi-join whose hot keys Spark splits.
-* Full windows are compared by 96 bits of hash.
+* Full windows are compared by 96 bits, mixed in two ways from 64-bit hashes of their
+  words: two words of one 64-bit hash count as equal.
 * Documents with the same words as one of a smaller id are settled at once: all
   their words go if they have a window at all.
 
@@ -21,7 +22,9 @@ Every phase ends in a Parquet table in the shared folder.
 
 Defined cases: null text: no words; fewer words than ``size``: nothing goes; null
 doc_id: neither smaller nor larger than any, so nothing goes; rows of the same
-doc_id don't remove each other's words but each is judged; empty table: no rows.
+doc_id don't remove each other's words but each is judged; very long texts: whole; ties:
+the smallest doc_id that has a window keeps it; empty table: no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ path passes through these boundaries; each stretch between them is solved alone
 and remembered. This is exact, and long texts take linear time.
 
 Defined cases: null text: like the empty one; empty text: the word mark alone,
-hence one piece; repeated rows: each is counted.
+hence one piece; very long texts: whole; null doc_id: counted under null; repeated rows:
+each is counted; empty table: no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
