@@ -24,6 +24,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--test", action="store_true", help="view the sample")
     p.add_argument("--no-standardize", action="store_true")
     p.add_argument("--no-inference", action="store_true")
+    p.add_argument("--debug", action="store_true", help="print the answers and what was read from them")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("spokes").getOrCreate()
     if a.triples:
@@ -50,10 +51,13 @@ def main(args: list[str] | None = None) -> int:
         print(f"can't read {a.input}: {e}")
         return 0
     result = pipeline.run(docs, extractor, config.without(a.no_standardize, a.no_inference))
+    if a.debug:
+        for r in result.answers.orderBy("request").toLocalIterator():
+            print(f"--- {r.request} ({r.stage or r.error or 'unread'})\n{r.response}\n=== {r.value}")
     if result.triples.isEmpty():
         print("no triples were found")
         return 0
-    result.report.show(truncate=False)
+    result.report.show(1000, truncate=False)
     export_json(result.triples, json_path(a.output))
     print(render.render(result.triples, a.output, config.edge_smooth))
     return 0

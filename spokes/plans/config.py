@@ -45,10 +45,11 @@ KEYS = {
 
 
 def load_config(path: str = "config.toml") -> Config | None:
-    """None if the file can't be read or parsed."""
+    """None if the file can't be read or parsed, whatever the reason; the reason is printed."""
     try:
         with open(path, "rb") as f:
             data = tomllib.load(f)
-    except (OSError, tomllib.TOMLDecodeError):
+        return Config(**{k: data[s][n] for k, (s, n) in KEYS.items() if n in data.get(s, {})})
+    except Exception as e:  # noqa: BLE001  a file of any other kind is no configuration
+        print(f"{path}: {e}")
         return None
-    return Config(**{k: data[s][n] for k, (s, n) in KEYS.items() if n in data.get(s, {})})

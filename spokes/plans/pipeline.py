@@ -28,10 +28,17 @@ def read_answers(answers: DataFrame) -> DataFrame:
 
 
 def extract(pieces: DataFrame, extractor: Extractor) -> tuple[DataFrame, DataFrame]:
-    """(triples, failures) of chunk rows (doc_id, chunk, text).
+    """(triples, failures) of chunk rows (doc_id, chunk, text)."""
+    return extract_counted(pieces, extractor)[:2]
+
+
+def extract_counted(pieces: DataFrame, extractor: Extractor) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(triples, failures, dropped, answers) of chunk rows (doc_id, chunk, text).
 
     Answers are saved first: they are the one costly step that can't be repeated.
     A failed call is a row of ``failures``; a caller that must abort looks there.
+    ``dropped`` has one row per item of an answer that is no triple; ``answers`` are
+    as they came, with the kind, value and stage of what was read from them.
     """
     asked = pieces.select(
         F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk").cast("string")).alias("request"),
@@ -40,12 +47,15 @@ def extract(pieces: DataFrame, extractor: Extractor) -> tuple[DataFrame, DataFra
     )
     answers = save(extractor.run(asked), "answers")
     read = read_answers(answers).where("kind = 'array'").withColumn("at", F.split("request", ":"))
-    items = T.valid_items(array_items(read.selectExpr("CAST(at[0] AS BIGINT) AS doc_id", "CAST(at[1] AS INT) AS chunk", "value")))
+    every = array_items(read.selectExpr("CAST(at[0] AS BIGINT) AS doc_id", "CAST(at[1] AS INT) AS chunk", "value"))
+    items = T.valid_items(every)
+    dropped = every.select("doc_id", "chunk", "pos").join(items.select("doc_id", "chunk", "pos"), ["doc_id", "chunk", "pos"], "left_anti")
     seq = F.struct(F.lit(0).alias("phase"), F.col("doc_id").alias("doc"), "chunk", F.col("pos").cast("bigint").alias("pos"))
     rows = items.select(*PARTS, "chunk", F.lit(False).alias("inferred"), seq.cast(SEQ).alias("seq"))
     done = items.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk").cast("string")).alias("request")).distinct()
     failed = answers.join(done, "request", "left_anti").select("request", F.coalesce("error", F.lit("no triples in the answer")).alias("error"))
-    return T.with_short_predicates(rows), failed
+    told = answers.withColumn("j", ladder(F.col("response"))).select(*answers.columns, "j.kind", "j.value", "j.stage")
+    return T.with_short_predicates(rows), failed, dropped, told
 
 
 def resolve_by_model(extractor: Extractor):
@@ -111,6 +121,12 @@ class Result:
     triples: DataFrame
     failures: DataFrame
     report: DataFrame
+    answers: DataFrame
+
+
+def _top(df: DataFrame, phase: str, when: str) -> DataFrame:
+    """The five most frequent predicates."""
+    return T.top_predicates(df).select(F.lit(phase).alias("phase"), F.concat(F.lit(f"{when}: "), "predicate").alias("metric"), F.col("n").alias("value"))
 
 
 def _metric(df: DataFrame, phase: str, name: str) -> DataFrame:
@@ -120,14 +136,19 @@ def _metric(df: DataFrame, phase: str, name: str) -> DataFrame:
 def run(docs: DataFrame, extractor: Extractor, config: Config | None = None) -> Result:
     """Documents (doc_id, text) to triples, with a report of every phase (O12). Phases end in saved tables."""
     config = config or Config()
-    raw, failures = extract(chunks(docs, config.chunk_size, config.overlap), extractor)
+    raw, failures, dropped, answers = extract_counted(chunks(docs, config.chunk_size, config.overlap), extractor)
     rows = save(raw, "extracted")
     report = [_metric(rows, "extract", "triples"), _metric(T.unique_entities(rows), "extract", "entities")]
+    report += [_metric(dropped, "extract", "dropped: not a triple"), _metric(failures, "extract", "failed requests")]
     if config.standardize:
-        rows = save(R.standardize(rows, resolve_by_model(extractor) if config.model_for_entities else None), "standardized")
+        before, rows = rows, save(R.standardize(rows, resolve_by_model(extractor) if config.model_for_entities else None), "standardized")
+        loops = before.join(rows.select("seq"), "seq", "left_anti")
+        report += [_metric(loops, "standardize", "dropped: of one entity alone")]
         report += [_metric(rows, "standardize", "triples"), _metric(T.unique_entities(rows), "standardize", "entities")]
     if config.infer:
         ask = infer_by_model(extractor) if config.model_for_inference else None
+        report += [_metric(I.saved_components(rows).select("component").distinct(), "infer", "components"), _top(rows, "infer", "before")]
         rows = save(I.infer(rows, ask), "inferred")
+        report += [_top(rows, "infer", "after")]
         report += [_metric(rows, "infer", "triples"), _metric(rows.where("inferred"), "infer", "inferred")]
-    return Result(rows, failures, T.append(*report))
+    return Result(rows, failures, T.append(*report), answers)

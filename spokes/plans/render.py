@@ -16,14 +16,19 @@ MOST_NODES, MOST_EDGES = 20_000, 100_000
 
 
 def options(edge_smooth: str | bool = False) -> dict:
-    """O11. The layout's constants."""
-    if isinstance(edge_smooth, str):
-        smooth = False if edge_smooth.lower() == "false" else {"type": edge_smooth}
-    else:
-        smooth = {"type": "continuous"} if edge_smooth else False
+    """O11. ``edge_smooth`` is a kind of curve; true stands for one of them, false (or its name) for straight lines."""
+    kind = {True: "continuous", False: ""}.get(edge_smooth, edge_smooth)
+    smooth = {"type": kind} if kind and kind.lower() != "false" else False
+    # The layout's constants.
     force = {"gravitationalConstant": -50, "centralGravity": 0.01, "springLength": 100, "springConstant": 0.08}
     physics = {"enabled": True, "solver": "forceAtlas2Based", "forceAtlas2Based": force, "stabilization": {"iterations": 200, "enabled": True}}
-    return {"physics": physics, "edges": {"smooth": smooth}, "interaction": {"hover": True}}
+    return {
+        "physics": physics,
+        "edges": {"color": {"inherit": True}, "font": {"size": 11}, "smooth": smooth},
+        "nodes": {"font": {"size": 14, "face": "Tahoma"}, "scaling": {"min": 10, "max": 50}},
+        "interaction": {"hover": True, "navigationButtons": True, "keyboard": True, "tooltipDelay": 200},
+        "layout": {"improvedLayout": True},
+    }
 
 
 def view(triples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -18,6 +18,7 @@ from spokes.plans import pipeline as P
 from spokes.schema import NAME_STOPS, TRAILING_STOPS
 from spokes.sources.extractors import RuleExtractor
 from spokes.sources.seeds import sample_triples, seed_sql, seed_triples
+from spokes.storage import save
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -335,7 +336,7 @@ SELECT (SELECT count(*) FROM (SELECT subject FROM final UNION SELECT object FROM
   (SELECT count(*) FROM final) - (SELECT count(*) FROM pairs) AS original_edges, (SELECT count(*) FROM pairs) AS inferred_edges,
   (SELECT count(DISTINCT community) FROM deg) AS communities""")
 def graph_stats(spark, sf):
-    t = I.infer(seed_triples(spark, sf, *NAMED))
+    t = save(I.infer(seed_triples(spark, sf, *NAMED)), "inferred")
     return G.stats(t, G.degree_communities(t))
 
 

@@ -47,6 +47,15 @@ SAMPLE = [
     ("Paper Mill", "buys power from", "Water Wheel"),
     ("Paper Mill", "sells to", "Printers Guild"),
     ("Printers Guild", "meets in", "York"),
+    ("Ann Hobson", "leads", "Printers Guild"),
+    ("Ann Hobson", "was taught by", "Mary Ellis"),
+    ("Leeds Canal", "joins", "River Aire"),
+    ("Leeds Canal", "carries", "Coal"),
+    ("Coal", "heats", "Paper Mill"),
+    ("Coal", "comes from", "Middleton"),
+    ("Middleton", "lies near", "Leeds"),
+    ("Rail Company", "ships", "Coal"),
+    ("Rail Company", "was founded in", "York"),
 ]
 
 
