@@ -159,14 +159,14 @@ def top100_entities(spark, sf):
     return T.top_entities(seed_triples(spark, sf))
 
 
-@query("q_variant_groups", f"WITH {_t(*NAMED)}, {ENDS}, freq AS (SELECT lower(entity) AS variant, count(*) AS n FROM ends GROUP BY 1) SELECT * FROM (SELECT {NORM.format('variant')} AS norm, variant, n FROM freq) WHERE norm <> ''")
+@query("q_variant_groups", f"WITH {_t()}, {ENDS}, freq AS (SELECT lower(entity) AS variant, count(*) AS n FROM ends GROUP BY 1) SELECT * FROM (SELECT {NORM.format('variant')} AS norm, variant, n FROM freq) WHERE norm <> ''")
 def variant_groups(spark, sf):
-    return R.variant_groups(seed_triples(spark, sf, *NAMED))
+    return R.variant_groups(seed_triples(spark, sf))
 
 
-@query("q_group_representative", f"WITH {_t(*NAMED)}, {ENDS}, {MAPPING} SELECT norm, standard FROM rep")
+@query("q_group_representative", f"WITH {_t()}, {ENDS}, {MAPPING} SELECT norm, standard FROM rep")
 def group_representative(spark, sf):
-    return R.representatives(R.variant_groups(seed_triples(spark, sf, *NAMED)))
+    return R.representatives(R.variant_groups(seed_triples(spark, sf)))
 
 
 @query("q_subsumption_map", f"WITH {_t(*NAMED)}, {ENDS}, {MAPPING} SELECT standard, target FROM taken")
@@ -204,32 +204,32 @@ def _components(spark, sf, *families):
     return connected_components(T.edges(seed_triples(spark, sf, *families)))
 
 
-@query("q_components", f"WITH RECURSIVE {_t(1, 2)}, {COMPONENTS} SELECT node, component FROM comp")
+@query("q_components", f"WITH RECURSIVE {_t()}, {COMPONENTS} SELECT node, component FROM comp")
 def components(spark, sf):
-    return _components(spark, sf, 1, 2)
+    return _components(spark, sf)
 
 
-@query("q_component_sizes", f"WITH RECURSIVE {_t(1, 2)}, {COMPONENTS} SELECT component, count(*) AS size FROM comp GROUP BY component")
+@query("q_component_sizes", f"WITH RECURSIVE {_t()}, {COMPONENTS} SELECT component, count(*) AS size FROM comp GROUP BY component")
 def component_sizes(spark, sf):
-    return I.component_sizes(_components(spark, sf, 1, 2))
+    return I.component_sizes(_components(spark, sf))
 
 
 TOP = "top AS (SELECT component, count(*) AS size, CAST(row_number() OVER (ORDER BY count(*) DESC, component) AS INT) AS rank FROM comp GROUP BY component ORDER BY rank LIMIT 5)"
 
 
-@query("q_top5_components", f"WITH RECURSIVE {_t(1, 2)}, {COMPONENTS}, {TOP} SELECT component, size, rank FROM top")
+@query("q_top5_components", f"WITH RECURSIVE {_t()}, {COMPONENTS}, {TOP} SELECT component, size, rank FROM top")
 def top5_components(spark, sf):
-    return I.top_components(_components(spark, sf, 1, 2))
+    return I.top_components(_components(spark, sf))
 
 
-@query("q_component_pairs", f"WITH RECURSIVE {_t(1, 2)}, {COMPONENTS}, {TOP} SELECT a.component AS c1, b.component AS c2, a.rank AS r1, b.rank AS r2 FROM top a JOIN top b ON a.rank < b.rank")
+@query("q_component_pairs", f"WITH RECURSIVE {_t()}, {COMPONENTS}, {TOP} SELECT a.component AS c1, b.component AS c2, a.rank AS r1, b.rank AS r2 FROM top a JOIN top b ON a.rank < b.rank")
 def component_pairs(spark, sf):
-    return I.component_pairs(I.top_components(_components(spark, sf, 1, 2)))
+    return I.component_pairs(I.top_components(_components(spark, sf)))
 
 
-@query("q_representatives", f"WITH RECURSIVE {_t(1, 2)}, {COMPONENTS}, {TOP} SELECT component, node, CAST(k AS INT) AS k FROM (SELECT component, node, row_number() OVER (PARTITION BY component ORDER BY node) AS k FROM comp JOIN top USING (component)) WHERE k <= 5")
+@query("q_representatives", f"WITH RECURSIVE {_t()}, {COMPONENTS}, {TOP} SELECT component, node, CAST(k AS INT) AS k FROM (SELECT component, node, row_number() OVER (PARTITION BY component ORDER BY node) AS k FROM comp JOIN top USING (component)) WHERE k <= 5")
 def component_names(spark, sf):
-    c = _components(spark, sf, 1, 2)
+    c = _components(spark, sf)
     return I.component_members(c, I.top_components(c)).select("component", "node", "k")
 
 
@@ -267,9 +267,10 @@ def transitive(spark, sf):
 
 
 LEXICAL = f"""{NODES}, low AS (SELECT node, lower(node) AS l, list_distinct(string_split(lower(node), ' ')) AS w FROM nodes),
+lk AS (SELECT DISTINCT least(subject, object) AS a, greatest(subject, object) AS b FROM t),
 lp AS (
-  SELECT a.node AS a, b.node AS b, a.l AS la, b.l AS lb, list_intersect(a.w, b.w) AS both_w FROM low a JOIN low b ON a.node < b.node
-  WHERE NOT EXISTS (SELECT 1 FROM t WHERE (subject = a.node AND object = b.node) OR (subject = b.node AND object = a.node))),
+  SELECT a, b, la, lb, list_intersect(wa, wb) AS both_w
+  FROM (SELECT a.node AS a, b.node AS b, a.l AS la, b.l AS lb, a.w AS wa, b.w AS wb FROM low a JOIN low b ON a.node < b.node) ANTI JOIN lk USING (a, b)),
 lw AS (SELECT *, (SELECT arg_min(x, (-length(x), x)) FROM (SELECT unnest(both_w) AS x)) AS word FROM lp WHERE len(both_w) > 0),
 lex AS (
   SELECT CASE WHEN starts_with(la, word) AND NOT starts_with(lb, word) THEN b ELSE a END AS subject,
