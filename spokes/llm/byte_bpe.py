@@ -3,8 +3,9 @@
 A text is cut by the tokenizer's own pattern; each match is a word. Every distinct
 word of the whole table is folded once, by Spark's higher-order functions: a word
 starts as the ids of its bytes, and a fold over them merges the pair of least rank (in
-long words, all pairs of that rank at once) until no pair has a rank. Ranks of pairs come from a literal
-map: an array of packed (left, right, merged) with a collision-free hash.
+long words, all pairs of that rank at once) until no pair has a rank. Ranks of pairs
+come from a literal map, an array of packed (left, right, merged) with a collision-free
+hash.
 
 Merging all pairs of least rank in one step equals merging the leftmost one each
 time, if every token of the rank file is reached from its own bytes by merges of
@@ -35,7 +36,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,7 +49,7 @@ NONE, BASE = 1 << 16, 256
 #: Words of up to so many bytes are merged one pair at a time, longer ones all equal pairs at a time.
 SHORT = 48
 #: Bounds of the broadcast words and of the memos in Python workers.
-MOST_WORDS, WORD_BYTES, MEMO = 3 << 18, 64, 200_000
+MOST_WORDS, WORD_BYTES, MEMO, CHUNKS = 3 << 18, 64, 200_000, 32
 
 
 @lru_cache(maxsize=1)
@@ -101,19 +101,17 @@ def place(table: dict[int, int]) -> tuple[list[int], list[int]]:
     return slots, shift
 
 
-@lru_cache(maxsize=1)
-def _texts(path: str) -> dict[str, str]:
-    """The literals: comma-separated text that the optimizer turns into arrays once, and the 256 bytes as characters of their ids."""
+def rank_map(spark: SparkSession, path: str) -> DataFrame:
+    """zero, map (slots, shift): one row. Ids in the map's keys are moved by BASE."""
+    import pyarrow as pa
+
     ranks = load(path)
     if BASE + max(ranks.values()) >= 0xD800:
         raise ValueError("ids beyond the characters that can stand for them")
     of = lambda k: ((k >> 16) + BASE) << 16 | (k & 0xFFFF) + BASE
     slots, shift = place({of(k): v for k, v in pairs(ranks).items()})
-    return {"slots": ",".join(map(str, slots)), "shift": ",".join(map(str, shift)), "bytes": "".join(chr(BASE + ranks[bytes([b])]) for b in range(256))}
-
-
-def _array(text: str, of: str) -> Column:
-    return F.split(F.lit(text), ",").cast(f"array<{of}>")
+    one = pa.table({"zero": pa.array([0], pa.int64()), "slots": pa.array([slots], pa.list_(pa.int64())), "shift": pa.array([shift], pa.list_(pa.int64()))})
+    return save(spark.createDataFrame(one).select("zero", F.struct("slots", "shift").alias("map")), "ranks")
 
 
 def _bind(value: Column, f) -> Column:
@@ -185,25 +183,11 @@ def _fold_long(start: Column, table: Column) -> Column:
     )
 
 
-def fold(word: Column, path: str) -> Column:
-    """array<int>: ids of one word of a byte or more. Ids are carried as characters or numbers of BASE + id."""
-    t = _texts(path)
-    # The tables are one literal that the expressions share by name; each mention would be a copy in every task.
-    tables = F.struct(_array(t["slots"], "bigint").alias("slots"), _array(t["shift"], "bigint").alias("shift"))
-    latin = F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), "".join(map(chr, range(256))), t["bytes"])
-    return _bind(tables, lambda table: _bind(latin, lambda x: F.when(F.length(x) <= SHORT, _fold_short(x, table)).otherwise(_fold_long(x, table))))
-
-
-@contextmanager
-def _short_plans(spark: SparkSession):
-    """Descriptions of plans would repeat the literals."""
-    name = "spark.sql.maxPlanStringLength"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "100000")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def fold(word: Column, ranks: Column, path: str) -> Column:
+    """array<int>: ids of one word of a byte or more, by ``ranks``, the column ``map`` of :func:`rank_map`. Ids are carried as characters or numbers of BASE + id."""
+    known = load(path)
+    latin = F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), "".join(map(chr, range(256))), "".join(chr(BASE + known[bytes([b])]) for b in range(256)))
+    return _bind(ranks, lambda table: _bind(latin, lambda x: F.when(F.length(x) <= SHORT, _fold_short(x, table)).otherwise(_fold_long(x, table))))
 
 
 SPACED, CUT, SIGNS = re.compile(r"\s "), re.compile(r"(?<=\S) "), tuple(".,;:!?")
@@ -333,7 +317,7 @@ def _coder(sent) -> Coder:
 
 
 def _count(docs: DataFrame) -> DataFrame:
-    """word, n over the whole table; each task adds up its own first."""
+    """word, n, as each task adds them up."""
 
     def run(batches):
         import pyarrow as pa
@@ -348,9 +332,22 @@ def _count(docs: DataFrame) -> DataFrame:
             for s in range(0, len(words), 16_384):
                 yield pa.RecordBatch.from_arrays([pa.array(words[s : s + 16_384], pa.string()), pa.array(n[s : s + 16_384], pa.int64())], names=["word", "n"])
 
-    # Dealt by number, as each task folds its words: a partition of few bytes is much work.
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select("text").mapInArrow(run, "word string, n long").repartition(n, "word").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word string, n long")
+
+
+def fold_words(counts: DataFrame, path: str) -> DataFrame:
+    """word, n, code (packed ids) of the distinct words of ``counts`` (word, n), each folded once.
+
+    Words come in CHUNKS rows a partition, each of which meets the one row of the rank
+    map. As text in the plan, the map would take megabytes in every description of it.
+    """
+    spark = counts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counts.withColumn("chunk", F.pmod(F.xxhash64("word"), F.lit(CHUNKS * parts))).repartition(parts, "chunk")
+    chunks = dealt.groupBy("chunk", "word").agg(F.sum("n").alias("n")).groupBy("chunk").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    both = chunks.select((F.col("chunk") - F.col("chunk")).alias("zero"), "words").join(F.broadcast(rank_map(spark, path)), "zero")
+    code = lambda x: F.struct(x["word"].alias("word"), x["n"].alias("n"), _packed(fold(x["word"], F.col("map"), path)).alias("code"))
+    return both.select(F.inline(F.transform("words", code)))
 
 
 def _frequent(words: DataFrame) -> Column:
@@ -381,8 +378,7 @@ def _encoded(docs: DataFrame, path: str, rows, schema: str) -> DataFrame:
 
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    with _short_plans(spark):
-        words = save(_count(docs).select("word", "n", _packed(fold(F.col("word"), path)).alias("code")), "words")
+    words = save(fold_words(_count(docs), path), "words")
     release(spark)
     often = _frequent(words)
     table = words.where(often).select("word", "code").toArrow()  # at most MOST_WORDS rows of bounded length

@@ -5,7 +5,6 @@ import itertools
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from spokes.llm import byte_bpe, decontaminate, jaccard_join, q04, substring_dedup
 
 from .conftest import ODD
@@ -151,8 +150,10 @@ def test_bpe_folds_tokens_and_decodes(spark, tokenizer):
     assert byte_bpe.is_ordered(ranks)
     assert not byte_bpe.is_ordered({b"a": 0, b"b": 1, b"c": 2, b"ab": 9, b"abc": 5})
     some = [t.decode() for t in ranks if len(t) > 1 and t.isascii()][::40]
-    got = spark.createDataFrame([(w,) for w in some], "w string").select("w", byte_bpe.fold(F.col("w"), q04.ranks()).alias("ids")).collect()
-    assert all(list(r.ids) == [ranks[r.w.encode()]] for r in got)
+    rows = spark.createDataFrame([(w, k) for w in some for k in (1, 2)], "word string, n long")
+    got = byte_bpe.fold_words(rows, q04.ranks()).collect()
+    assert sorted(r.word for r in got) == sorted(some)
+    assert all(r.n == 3 and bytes(r.code) == ranks[r.word.encode()].to_bytes(4, "little") for r in got)
     assert byte_bpe.decode(tokenizer.encode_ordinary("naïve 日本"), q04.ranks()).decode() == "naïve 日本"
 
 
