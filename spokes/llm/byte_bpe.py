@@ -48,8 +48,8 @@ SLOTS, BUCKETS, MOST_SHIFT, EMPTY = 200_003, 65_521, 32_768, 1 << 50
 NONE, BASE = 1 << 16, 256
 #: Words of up to so many bytes are merged one pair at a time, longer ones all equal pairs at a time.
 SHORT = 48
-#: Bounds of the broadcast words and of the memos in Python workers.
-MOST_WORDS, WORD_BYTES, MEMO, CHUNKS = 3 << 18, 64, 200_000, 32
+#: Bounds of the broadcast words, and of the memos and counts in Python workers; rows of words a partition.
+MOST_WORDS, WORD_BYTES, MEMO, COUNTED, CHUNKS = 3 << 18, 64, 300_000, 600_000, 32
 
 
 @lru_cache(maxsize=1)
@@ -190,7 +190,7 @@ def fold(word: Column, ranks: Column, path: str) -> Column:
     return _bind(ranks, lambda table: _bind(latin, lambda x: F.when(F.length(x) <= SHORT, _fold_short(x, table)).otherwise(_fold_long(x, table))))
 
 
-SPACED, CUT, SIGNS = re.compile(r"\s "), re.compile(r"(?<=\S) "), tuple(".,;:!?")
+SPACED, CUT, SIGNS = re.compile(r" (?<=\s )"), re.compile(r"(?<=\S) "), tuple(".,;:!?")
 
 
 def segments(text: str) -> list[str]:
@@ -327,7 +327,7 @@ def _count(docs: DataFrame) -> DataFrame:
                 for s in range(0, b.num_rows, 256):
                     yield from b.column(0).slice(s, 256).to_pylist()
 
-        for counts in Words().count(texts(), MEMO):
+        for counts in Words().count(texts(), COUNTED):
             words, n = list(counts), list(counts.values())
             for s in range(0, len(words), 16_384):
                 yield pa.RecordBatch.from_arrays([pa.array(words[s : s + 16_384], pa.string()), pa.array(n[s : s + 16_384], pa.int64())], names=["word", "n"])
