@@ -175,3 +175,21 @@ def test_pipeline(spark, tokenizer):
     want = {i: tokenizer.encode_ordinary(secret_scan.redact(t, words)) for i, t in left.items() if i not in leaked}
     got = {r.doc_id: list(r.ids) for r in C.run(spark, SF).collect()}
     assert got == want
+
+
+def test_pipeline_on_odd_rows(spark, odd_docs, no_docs, tokenizer, tmp_path):
+    """Nulls, rows of one id, repeated rows, copies, extra columns with clashing names, and an empty table."""
+    import corpus_pipeline as C
+
+    text = lambda i: " ".join(f"word{i}x{k}" for k in range(60))
+    good = [(100, text(1)), (100, text(2)), (101, text(1)), (102, text(3)), (102, text(3)), (None, text(4)), (103, "x" * 30 + " " + text(5))]
+    rows = spark.createDataFrame([(i, t, "en", None, len(t), "a", "b") for i, t in good], odd_docs.schema)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    for name, docs in (("odd", odd_docs.union(rows)), ("none", no_docs)):
+        docs.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"file://{tmp_path}/{name}/benchmark.parquet")
+    got = C.run(spark, f"file://{tmp_path}/odd").collect()
+    want = [(100, text(1)), (100, text(2)), (102, text(3)), (None, text(4)), (103, good[-1][1])]
+    ids = sorted(((r.doc_id, list(r.ids)) for r in got if r.doc_id is None or r.doc_id >= 100), key=str)
+    assert ids == sorted(((i, tokenizer.encode_ordinary(t)) for i, t in want), key=str)
+    assert C.run(spark, f"file://{tmp_path}/none").count() == 0
