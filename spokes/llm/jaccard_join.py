@@ -190,10 +190,11 @@ def candidates(sets: DataFrame, runs: int | None = None) -> DataFrame:
             drop_saved(before)
         drop_saved(sizes)
         release(spark)
-        forks = F.explode(F.array(*(F.xxhash64("path", F.lit(depth), F.lit(f)) for f in range(2 if depth in FORKS else 1))))
+        forks = [F.xxhash64("path", F.lit(depth), F.lit(f)) for f in range(2 if depth in FORKS else 1)]
+        fork = F.explode(F.array(*forks)) if len(forks) > 1 else forks[0]
         at = F.pmod(F.col("fork"), F.lit(T)).cast("int") + 1
         label = F.when(F.col("equal") >= ALIKE, F.col("pivot")).otherwise(F.col("label")).alias("label")
-        left = told.where(F.col("equal") < SETTLED).select("key", label, "root", "mh", forks.alias("fork"))
+        left = told.where(F.col("equal") < SETTLED).select("key", label, "root", "mh", fork.alias("fork"))
         rows, before = left.select("key", "label", "root", F.xxhash64("fork", F.element_at("mh", at)).alias("path")), told
     out = found[0]
     for f in found[1:]:
