@@ -10,8 +10,11 @@ token there. Buckets of at most SMALL are compared pair by pair. A larger bucket
 split again on the next sampled token of its path. In a large bucket, the sets that
 look like its pivot (the set of the least key, so mostly the same one in all buckets
 of a group) are put into the pivot's group and carry its label; a bucket whose sets
-carry one label is done, as all of its pairs are candidates. So a large group of near
-copies is split once and not compared for ever. Sets leave the recursion if they are
+carry one label is done, as all of its pairs are candidates. A bucket of which a share of
+MOSTLY or more looks like the pivot is put into its group whole, and is done: that adds
+candidates and loses none, where a few sets that look otherwise would make all others
+go on by every path. So a large group of near copies is split once or twice and not
+compared for ever. Sets leave the recursion if they are
 so near to the pivot that anything SIMILAR to them was put there too (Jaccard
 distance is a metric; SETTLED exceeds 0.8 by about two standard errors of an estimate
 from T minhashes). What is still in a large bucket after DEEPEST splits is put into
@@ -50,6 +53,8 @@ T, SMALL, DEEPEST, BLOCK, BLOCK_CHARS = 64, 48, 8, 256, 2 << 20
 RECALL = 0.99999
 #: Of T minhashes: so many equal ones put two sets into one candidate group, or end a set's recursion.
 ALIKE, SETTLED = int(0.5 * T), math.ceil(0.9 * T)
+#: Share of sets like the pivot from which a bucket is one candidate group.
+MOSTLY = 0.75
 #: Depths at which a path of a large bucket forks.
 FORKS = (1, 3, 5)
 
@@ -167,7 +172,7 @@ def candidates(sets: DataFrame, runs: int | None = None) -> DataFrame:
     runs = runs or runs_needed(RECALL)
     roots = F.array(*(F.struct(F.lit(r).alias("root"), F.xxhash64(F.lit(r), F.element_at("mh", r % T + 1)).alias("path")) for r in range(runs)))
     rows = keyed.select("key", F.lit(None).cast("long").alias("label"), F.explode(roots).alias("b")).select("key", "label", "b.root", "b.path")
-    found, before = [], None
+    found, before = [], ()
     for depth in range(DEEPEST):
         stats = rows.groupBy("root", "path").agg(
             F.count("*").alias("n"), F.expr("bit_xor(xxhash64(key))").alias("members"), F.min("key").alias("pivot"), F.count("label").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")
@@ -183,19 +188,23 @@ def candidates(sets: DataFrame, runs: int | None = None) -> DataFrame:
         pivots = keyed.select(F.col("key").alias("pivot"), F.col("sig").alias("pivot_sig"), F.col("mh").alias("pivot_mh"))
         inside = rows.join(large.join(pivots, "pivot"), ["root", "path"]).join(keyed, "key")
         told = inside.select("key", "label", "root", "path", "sig", "mh", "pivot", "pivot_sig", _equal(F.col("mh"), F.col("pivot_mh")).alias("equal"))
-        told = save(told, "told")
-        near = (F.col("equal") >= ALIKE) | F.lit(depth == DEEPEST - 1)
+        told = saved = save(told, "told")
+        # Few rows, one per bucket; counted per task before the shuffle.
+        whole = told.groupBy("root", "path").agg(F.avg((F.col("equal") >= ALIKE).cast("int")).alias("share")).where(F.col("share") >= MOSTLY)
+        whole = save(whole.select("root", "path", F.lit(True).alias("whole")), "whole")
+        told = told.join(whole, ["root", "path"], "left")
+        near = (F.col("equal") >= ALIKE) | F.col("whole").isNotNull() | F.lit(depth == DEEPEST - 1)
         found.append(save(told.where((F.col("sig") != F.col("pivot_sig")) & near).select(F.col("sig").alias("src"), F.col("pivot_sig").alias("dst")).distinct(), "pairs"))
-        if before is not None:
-            drop_saved(before)
+        for done in before:
+            drop_saved(done)
         drop_saved(sizes)
         release(spark)
         forks = [F.xxhash64("path", F.lit(depth), F.lit(f)) for f in range(2 if depth in FORKS else 1)]
         fork = F.explode(F.array(*forks)) if len(forks) > 1 else forks[0]
         at = F.pmod(F.col("fork"), F.lit(T)).cast("int") + 1
         label = F.when(F.col("equal") >= ALIKE, F.col("pivot")).otherwise(F.col("label")).alias("label")
-        left = told.where(F.col("equal") < SETTLED).select("key", label, "root", "mh", fork.alias("fork"))
-        rows, before = left.select("key", "label", "root", F.xxhash64("fork", F.element_at("mh", at)).alias("path")), told
+        left = told.where(F.col("whole").isNull() & (F.col("equal") < SETTLED)).select("key", label, "root", "mh", fork.alias("fork"))
+        rows, before = left.select("key", "label", "root", F.xxhash64("fork", F.element_at("mh", at)).alias("path")), (saved, whole)
     out = found[0]
     for f in found[1:]:
         out = out.union(f)

@@ -75,3 +75,33 @@ def test_large_group_of_near_copies_is_split_once(spark, monkeypatch):
     sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in near]
     links = [sum(5 * len(a & b) >= 4 * len(a | b) for b in sets) - 1 for a in sets]
     assert all(got[i] == (0, links[i]) for i in range(100)) and all(got[i] == (i, 0) for i in range(100, 300))
+
+
+def test_group_with_others_in_its_buckets_is_done_after_few_splits(spark, monkeypatch):
+    """Sets in all buckets of a large group that look otherwise don't make the group go on by every path; no pair is lost."""
+    rng, n, rows = np.random.default_rng(3), 300, []
+    base = rng.integers(-(2**31), 2**31, jaccard_join.T)
+    for i in range(n + n // 4):
+        own = rng.integers(-(2**31), 2**31, jaccard_join.T)
+        rows.append((i.to_bytes(2, "big"), np.where(rng.random(jaccard_join.T) < (0.85 if i < n else 0.5), base, own).tolist()))
+    told, real = [], jaccard_join.save
+
+    def save(df, name, path=None):
+        out = real(df, name, path)
+        if name == "told":
+            told.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "save", save)
+    edges = jaccard_join.candidates(spark.createDataFrame(rows, "sig binary, mh array<int>")).collect()
+    lead = {s: s for s, _ in rows}
+
+    def find(s):
+        while lead[s] != s:
+            s = lead[s]
+        return s
+
+    for e in edges:
+        lead[find(bytes(e.src))] = find(bytes(e.dst))
+    assert len({find(s) for s, _ in rows[:n]}) == 1
+    assert sum(told[1:]) < told[0], told
