@@ -22,6 +22,8 @@ The ids go back to the documents in two ways, at any size of the corpus:
 * all others are joined: (document, word) pairs meet the folded words by word. Such
   a word can't be a hot key, as MOST_WORDS others are more frequent, or it is long.
   A document's list of their ids, in the order of its text, meets it by 128 bits.
+  Texts move to their lists as zstandard frames, and lists are put together before
+  that, so that their shuffles and those of the texts don't lie on disk at once.
 
 Decoding concatenates the binary pieces of the ids.
 
@@ -408,19 +410,35 @@ def _encoded(docs: DataFrame, path: str, rows, schema: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "number", "word"])
 
     rest = keyed.select("k1", "k2", "text").mapInArrow(missing, "k1 long, k2 long, number int, word string")
-    rest = save(rest.join(words.where(~often).select("word", "code"), "word").select("k1", "k2", "number", "code"), "rest")
+    rest = rest.join(words.where(~often).select("word", "code"), "word")
+    lists = rest.groupBy("k1", "k2").agg(F.collect_set(F.struct("number", "code")).alias("own"))
+    lists = save(lists.select("k1", "k2", F.col("own.number").alias("numbers"), F.col("own.code").alias("codes")), "lists")
     drop_saved(words)
+    del rest, words
     release(spark)
-    lists = rest.groupBy("k1", "k2").agg(F.collect_set(F.struct("number", "code")).alias("own"))
-    both = keyed.join(lists, ["k1", "k2"], "left").select("doc_id", "text", F.col("own.number").alias("numbers"), F.col("own.code").alias("codes"))
+
+    def framed(batches):
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                some = b.slice(s, 256)
+                frames = [compress(t) for t in some.column(3).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(frames, pa.binary())], names=["k1", "k2", "doc_id", "frame"])
+
+    frames = keyed.select("k1", "k2", "doc_id", "text").mapInArrow(framed, "k1 long, k2 long, doc_id long, frame binary")
+    both = frames.join(lists, ["k1", "k2"], "left").select("doc_id", "frame", "numbers", "codes")
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def coded(batches):
-        coder, make = _coder(sent), rows()
+        import zstandard
+
+        coder, make, whole = _coder(sent), rows(), zstandard.ZstdDecompressor().decompress
         for b in batches:
             for s in range(0, b.num_rows, 128):
                 ids, *cols = [c.to_pylist() for c in b.slice(s, 128).columns]
-                packed = [coder.encode(t, dict(zip(n or (), c or (), strict=True))) for t, n, c in zip(*cols, strict=True)]
+                packed = [coder.encode(whole(f).decode(), dict(zip(n or (), c or (), strict=True))) for f, n, c in zip(*cols, strict=True)]
                 yield pa.RecordBatch.from_pydict(make(ids, packed), schema=arrow)
 
     return both.mapInArrow(coded, schema)

@@ -193,3 +193,16 @@ def test_pipeline_on_odd_rows(spark, odd_docs, no_docs, tokenizer, tmp_path):
     ids = sorted(((r.doc_id, list(r.ids)) for r in got if r.doc_id is None or r.doc_id >= 100), key=str)
     assert ids == sorted(((i, tokenizer.encode_ordinary(t)) for i, t in want), key=str)
     assert C.run(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_bpe_moves_texts_as_frames(spark, tokenizer, monkeypatch):
+    """What is shuffled with a text is a fraction of it, and texts without joined words, empty and null ones come back whole."""
+    monkeypatch.setattr(byte_bpe, "MOST_WORDS", 20)
+    rows = [(i, f"some words{i} that come again and again, " * 40) for i in range(30)] + [(30, ""), (31, None), (32, "again"), (None, "null id")]
+    made, real = [], byte_bpe.save
+    monkeypatch.setattr(byte_bpe, "save", lambda df, name, path=None: made.append(name) or real(df, name, path))
+    out = byte_bpe.encode_with_digest(spark.createDataFrame(rows, "doc_id long, text string"), q04.ranks())
+    assert sorted(map(tuple, out.collect()), key=str) == coded(tokenizer, rows)
+    assert made[-1] == "lists"
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "frame" in plan.split("Join")[1]
